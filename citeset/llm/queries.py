@@ -20,6 +20,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hash")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import append, token_counts
 
@@ -58,4 +64,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_token_counts, op6_warc, op7_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op4_decontamination, op5_token_counts, op6_warc, op7_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_quality)}
