@@ -20,6 +20,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -64,4 +70,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op4_decontamination, op5_token_counts, op6_warc, op7_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_join, op4_decontamination, op5_token_counts, op6_warc, op7_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_quality)}
