@@ -20,6 +20,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -70,4 +76,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_join, op4_decontamination, op5_token_counts, op6_warc, op7_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_suffix_dedup, op3_ngram_join, op4_decontamination, op5_token_counts, op6_warc, op7_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_quality)}
