@@ -161,7 +161,8 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
             columns = [batch.column(x) for x in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequences[run] + nth - starts[run]), pa.array(offsets[run])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    numbered = pieces.join(firsts.select("task", "length", "before"), ["task", "length"]).withColumn("number", F.col("nth") + F.col("before"))
+    # The counts grow with the tasks, so they are never broadcast.
+    numbered = pieces.join(firsts.select("task", "length", "before").hint("merge"), ["task", "length"]).withColumn("number", F.col("nth") + F.col("before"))
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -11,6 +11,7 @@ text columns are read, so other columns may have any names.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -24,6 +25,7 @@ from .common import new_path, partitions, slices, stage, write_file
 from .tokens import encoder
 
 FILE_TOKENS = 8_000_000
+READ_TOKENS = 500_000
 MANIFEST = "shard int, part int, path string, n_docs long, n_tokens long"
 
 
@@ -31,7 +33,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
     """Encode every text, append ``end_id`` and write the files; returns the staged manifest with each file's first token position."""
 
     def write(batches):
-        shard, part, ids, lengths, held = TaskContext.get().partitionId(), 0, [], [], []
+        shard, part, ids, lengths, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
             path = f"{folder}/{shard:06d}-{part:06d}.dac"
@@ -46,9 +48,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
                     held.append(raw + end)
                     ids.append(key)
                     lengths.append(len(raw) // 4 + 1)
-                if sum(map(len, held)) >= 4 * FILE_TOKENS:
+                    size += lengths[-1]
+                if size >= FILE_TOKENS:
                     yield flush()
-                    part, ids, lengths, held = part + 1, [], [], []
+                    part, ids, lengths, held, size = part + 1, [], [], [], 0
         if ids:
             yield flush()
 
@@ -61,7 +64,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Per document of the files: ``doc_id, start, n_tokens, ids_crc32``; ids are decoded one document at a time."""
+    """Per document of the files: ``doc_id, start, n_tokens, ids_crc32``; neighbouring documents are decoded together."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches):
@@ -69,10 +72,14 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 reader = dac.Reader(row["path"])
                 ids, offsets = reader.documents()
-                for i in range(0, len(ids), 4096):
-                    at = offsets[i : i + 4097]
-                    crc = [zlib.crc32(reader.slice(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096], pa.int64()), pa.array(row["first"] + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
+                i = 0
+                while i < len(ids):  # as many documents at a time as READ_TOKENS allow, one at least
+                    e = max(i + 1, int(np.searchsorted(offsets, offsets[i] + READ_TOKENS, "right")) - 1)
+                    at = offsets[i : e + 1]
+                    raw = memoryview(reader.slice(int(at[0]), int(at[-1])).astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[a:b]) for a, b in itertools.pairwise((4 * (at - at[0])).tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:e], pa.int64()), pa.array(row["first"] + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
+                    i = e
                 reader.close()
 
     n = partitions(manifest.sparkSession)

@@ -17,22 +17,22 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pieces in one generation of a worker's memory; at most two generations are held.
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 800_000
 #: Longer pieces are encoded each time and not remembered.
 LONGEST_PIECE = 64
 
 _AMBIGUOUS = re.compile(r" (?=\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _ASCII_SPACE = re.compile(r"[ \t-\r]+")
-_TAIL = re.compile(r"(.*[^\W\d_])([,.!?;:|*$%&#]+\n?)\Z", re.DOTALL)
+_TAIL = re.compile(r"([^\W\d_]+|.*[^\W\d_])([,.!?;:|*$%&#]+\n?|\n)\Z", re.DOTALL)
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -91,8 +91,9 @@ class PieceEncoder:
         known, split, heads = self._new, [], set()
         whole = []
         for x in missing:
-            m = _TAIL.match(x) if self.kind == "spaces kept" else None
-            if m:
+            # A pre-token ends between a letter and these marks; ASCII letters may be lowered beforehand.
+            m = _TAIL.match(x.lower() if self.kind == "spaces dropped" and x.isascii() else x) if self.kind != "whole" else None
+            if m and m[1][-1].lower().isalpha():  # not so for letters that are lowered to several characters
                 split.append((x, m[1], m[2]))
                 heads.update(m.groups())
             else:
@@ -101,12 +102,19 @@ class PieceEncoder:
         for i in range(0, len(ask), 4096):
             part = ask[i : i + 4096]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
+                known[x] = _pack(e.ids)
         for x, head, tail in split:
             known[x] = known[head] + known[tail]
         missing.update(ask)
 
 
+def _pack(ids: list[int]) -> bytes:
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
+
+
 def _kind(spec: dict) -> str:
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     simple = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
