@@ -97,21 +97,21 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", row
     return train([(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), y) for i, v, y in got])
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Add ``score`` to ``doc_id, text`` rows; the text is dropped."""
+def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """Add ``score`` to rows with a ``text``; the text is dropped unless it is to be kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a vector of fixed size
 
     def run(batches):
         w = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, at = features(part.column("text").to_pylist())
+                flat, at = features([x or "" for x in part.column("text").to_pylist()])
                 total = np.concatenate([[0.0], np.cumsum(w[flat], dtype=np.float64)])
                 logit = w[-1] + (total[at[1:]] - total[at[:-1]]) * SCALE / np.maximum(np.diff(at), 1)
                 values = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*[part.column(x) for x in part.schema.names if x != "text"], pa.array(values)], names=[*[x for x in part.schema.names if x != "text"], "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(values)], names=[*[f.name for f in kept], "score"])
 
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double"])
     return docs.mapInArrow(run, ddl)
 
