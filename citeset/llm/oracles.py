@@ -38,4 +38,17 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.o, d.doc_id)) AS component_id
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(o) AS o FROM r GROUP BY doc_id) m USING (doc_id)
     """,
+    "op2_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, i, hash(array_slice(b, i + 1, i + 200)) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+        c AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+        s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN c USING (h)),
+        g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+        r AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY ALL),
+        p AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM r UNION ALL SELECT doc_id, max(z), NULL FROM r GROUP BY 1),
+        k AS (SELECT p.doc_id, sha256(unhex(string_agg(CASE WHEN coalesce(y, n) > x THEN hex(array_slice(b, x + 1, coalesce(y, n))) ELSE '' END, '' ORDER BY x))) AS h FROM p JOIN d USING (doc_id) GROUP BY 1),
+        t AS (SELECT doc_id, sum(z - a) AS m, count(*) AS c FROM r GROUP BY 1)
+        SELECT doc_id, n AS n_bytes, coalesce(m, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans, coalesce(k.h, sha256(b)) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
 }
