@@ -11,7 +11,7 @@ the necessary prefix of a window is one token: its rarest shingle of ``SHINGLE``
    (positional bound), and the document must have room for it (length bound).
 4. Candidates are verified exactly: the document's words from there on must equal the window's words.
 
-Nothing is broadcast by hint; the planner does so below its own size limit. A frequent shingle costs rows
+Texts without candidates never move (see FEW_KEYS). A frequent shingle costs rows
 in proportion to its occurrences, since a window has one prefix and equal windows are one.
 
 Null and empty texts have no words and are never hit; null or wordless items have no windows. Rows with
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SIZE, SHINGLE = 13, 4
+FEW_KEYS = 500_000
 #: Words and the letters that are lowered (fixed by the contract).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,9 +84,15 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col:
     places = found.join(prefix, ["k", "shingle"]).withColumn("at", F.col("spot") - F.col("lead"))
     candidates = places.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("n_words"))).select("doc_id", "hash", "window", "at", "n").distinct()
     per_doc = candidates.join(wins.select("window", "words"), "window").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("window", "at", "n", "words")).alias("c"))
-    t, c = texts.dropDuplicates(["doc_id", "hash"]).alias("t"), per_doc.alias("c")
+    per_doc = stage(per_doc, "window-candidates")
+    # Only texts with candidates move: their keys are broadcast up to FEW_KEYS rows, and joined by a shuffle beyond.
+    names = per_doc.select("doc_id", "hash")
+    names = F.broadcast(names) if per_doc.count() <= FEW_KEYS else names
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
+    some = whole.alias("w").join(names.alias("k"), (F.col("w.hash") == F.col("k.hash")) & F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").dropDuplicates(["doc_id", "hash"])
     same = (F.col("t.hash") == F.col("c.hash")) & F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))
-    true = t.join(c, same).select("t.doc_id", "t.hash", F.filter("c.c", lambda x: F.slice("t.w", x["at"] + 1, x["n"]) == x["words"]).alias("c"))
+    read = some.alias("t").join(per_doc.alias("c"), same).select("t.doc_id", "t.hash", words(F.col("t.text")).alias("w"), "c.c")
+    true = read.select("doc_id", "hash", F.filter("c", lambda x: F.slice("w", x["at"] + 1, x["n"]) == x["words"]).alias("c"))
     verified = true.select("doc_id", "hash", F.explode("c").alias("c")).select("doc_id", "hash", "c.window", "c.at", "c.n")
     return rows, stage(verified, "window-places"), owners
 
