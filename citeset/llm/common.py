@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -77,6 +80,29 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         yield batch.slice(begin)
 
 
+class Memory:
+    """What a Python worker remembers between tasks. Using one memory clears all others of the process, so
+    that a worker which serves several operators in turn holds one operator's memory at a time."""
+
+    _all: ClassVar[list[Memory]] = []
+    _active: ClassVar[Memory | None] = None
+
+    def __init__(self) -> None:
+        Memory._all.append(self)
+
+    def use(self) -> None:
+        if Memory._active is not self:
+            for other in Memory._all:
+                if other is not self:
+                    other.clear()
+            Memory._active = self
+            with contextlib.suppress(AttributeError, OSError):  # only some C libraries can return free memory
+                ctypes.CDLL(None).malloc_trim(0)
+
+    def clear(self) -> None:
+        raise NotImplementedError
+
+
 def _local(uri: str) -> str | None:
     parsed = urlparse(uri)
     return parsed.path if parsed.scheme in ("", "file") else None

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memory
+
 _EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
@@ -39,13 +41,18 @@ def hash32(token: str) -> int:
     return zlib.crc32(token.encode())
 
 
-class Words:
+class Words(Memory):
     """Remembers a value per distinct word; starts anew beyond ``limit`` words."""
 
     def __init__(self, make: Callable[[str], object], limit: int = 300_000):
+        super().__init__()
         self._make, self._limit, self._known = make, limit, {}
 
+    def clear(self) -> None:
+        self._known = {}
+
     def __call__(self, words: list[str]) -> list:
+        self.use()
         known = self._known
         if len(known) > self._limit:
             known.clear()

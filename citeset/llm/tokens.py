@@ -21,11 +21,13 @@ import sys
 from array import array
 from collections.abc import Iterable
 
+from .common import Memory
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pieces in one generation of a worker's memory; at most two generations are held.
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 400_000
 #: Longer pieces are encoded each time and not remembered.
 LONGEST_PIECE = 64
 
@@ -44,8 +46,9 @@ def encoder(path: str) -> "PieceEncoder":
     return _encoders[path]
 
 
-class PieceEncoder:
+class PieceEncoder(Memory):
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -55,6 +58,9 @@ class PieceEncoder:
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self._new, self._old = {}, {}
+
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
@@ -70,6 +76,7 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
+        self.use()
         cut = [self.pieces(x or "") for x in texts]
         known = self._new
         missing = set().union(*cut).difference(known.keys())
