@@ -8,7 +8,7 @@ class from the start; everything below runs on classes.
   each set lists its subsets of the sizes c that occur for it; linked pairs have a subset in common.
 * Heavy sets: shingles are ordered by rarity and each set's necessary prefix enters inverted lists;
   a list is scanned for the sets that a heavy set's prefix meets in it.
-* The boundary minimises the rows of both parts, from the sizes of all sets and the mean list length.
+* The boundary minimises the rows of both parts, from the sizes of all sets.
 
 Rarity is the exact frequency over all classes, counted for the shingles in the lowest ``SHARE`` of the
 hash space (others come later, in hash order): any common order is correct, and that part already holds
@@ -142,12 +142,15 @@ def _subsets(t: Threshold, most: int):
     return run
 
 
-def boundary(sizes: dict[int, int], t: Threshold, mean_list: float) -> int:
-    """The largest size of light sets that makes the rows of both parts fewest."""
+def boundary(sizes: dict[int, int], t: Threshold) -> int:
+    """The largest size of light sets that makes the rows of both parts fewest.
+
+    A prefix entry costs two rows, as it asks the first members of two bands, however long its list is.
+    """
     best, where, total = 0.0, 0, 0.0
     for n in range(1, SMALL + 1):
         light = sum(math.comb(n, c) for c in t.subset_sizes(n, SMALL))
-        total += sizes.get(n, 0) * (light - t.probe(n) * (1 + mean_list))
+        total += sizes.get(n, 0) * (light - 2 * t.probe(n))
         if total < best:
             best, where = total, n
     return where
@@ -258,9 +261,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     spread = classes.select("node", "n", "low", "head").mapInArrow(_spread, "shingle long, node long, n long, low long, at long")
     counts = stage(spread.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1"), "shingle-counts")
-    mean = counts.agg(F.sum(F.col("seen") * F.col("seen").cast("double")) / F.sum("seen")).first()[0] or 0.0
     sizes = {x["n"]: x["count"] for x in classes.where(F.col("n") <= SMALL).groupBy("n").count().collect()}  # at most SMALL rows
-    light = boundary(sizes, t, mean)
+    light = boundary(sizes, t)
 
     lists = _prefix_lists(spread, counts, t, light)
     small = classes.where(F.col("n") <= light).select("node", "n", "head").mapInArrow(_subsets(t, light), "list long, node long, n long")
