@@ -248,6 +248,25 @@ def test_pipeline(spark):
     assert got(corpus_pipeline.run(spark, SF), "doc_id", "piece", "ids_crc32") == got(last, "doc_id", "piece", "ids_crc32")
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Ids that are null, or repeat with other texts."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(7))
+    a, b, c, d, e, leak = (" ".join(word() for _ in range(60)) for _ in range(6))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda step, rows: got(step(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)), "doc_id", "text")
+    key = lambda rows: sorted(rows, key=repr)
+    rows = [(None, a), (None, leak), (None, b), (7, leak), (7, c), (8, d), (None, None)]
+    assert run(corpus_pipeline.benchmark, rows) == key([(None, a), (None, b), (7, c), (8, d), (None, None)])
+    rows = [(1, a), (7, a), (7, b), (None, c), (9, c), (None, d), (3, d + " "), (4, e), (4, e), (5, leak), (5, " " + leak)]
+    assert run(corpus_pipeline.exact, rows) == key([(1, a), (7, b), (None, c), (3, d + " "), (4, e), (5, " " + leak)])
+    rows = [(1, a), (7, a + " x"), (7, b), (None, b + " x"), (None, c), (None, c + " x"), (None, d), (4, e), (4, e), (5, leak), (5, leak + " x"), (None, None), (None, None)]
+    out = run(corpus_pipeline.near, rows)
+    assert len(out) == 8
+    assert [x for x in out if not (x[1] or "").startswith((c, leak))] == key([(1, a), (7, b), (None, d), (4, e), (None, None), (None, None)])
+    assert {(i, t.removesuffix(" x")) for i, t in out if t and t.startswith((c, leak))} == {(None, c), (5, leak)}
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
