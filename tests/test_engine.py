@@ -211,3 +211,10 @@ def test_legacy_csv(spark, tmp_path):
     c, s, m = export.read_legacy(spark, str(tmp_path))
     assert (c.first()["hits"], m.first()["pmid"]) == (["1", "2"], "5")
     assert sorted(((r["pmid"] or "", r["authors"]) for r in s.collect())) == [("", ["Doe K", "Poe L"]), ("1", ["Roe J"])]
+
+
+def test_article_groups_of_a_long_chain(spark):
+    edges = [(f"A{i:03}", f"r{i + k}") for i in range(120) for k in (0, 1)] + [("B1", "s"), ("B2", "s"), ("C", "t")]
+    found = decoys.article_groups(spark.createDataFrame(edges, "source_pmcid string, pmid string")).collect()
+    assert {(x["source_pmcid"], x["part"]) for x in found} == {(f"A{i:03}", "A000") for i in range(120)} | {("B1", "B1"), ("B2", "B1"), ("C", "C")}
+    assert len(found) == 123
