@@ -204,9 +204,9 @@ def shared_decoys(s, d):
 _HARD = f"{_OPTIONS}, hard AS (SELECT query_id, source_pmcid, hits, options[1:3] AS decoys FROM opt WHERE len(hits) = 1)"
 
 
-def _hard(s, d) -> DataFrame:
+def _hard(s, d, n: int = 3) -> DataFrame:
     rows = decoys.decoy_options(views.contexts(s, d).where("n_hits = 1"), views.sources(s, d))
-    return rows.join(views.contexts(s, d).select("query_id", "hits"), "query_id").select("query_id", "source_pmcid", "hits", F.slice("options", 1, 3).alias("decoys"))
+    return rows.join(views.contexts(s, d).select("query_id", "hits"), "query_id").select("query_id", "source_pmcid", "hits", F.slice("options", 1, n).alias("decoys"))
 
 
 @query(oracle("v_ctx", "v_src", body=f"+ {_HARD}, ev AS (SELECT DISTINCT unnest(decoys) AS x FROM hard), own AS (SELECT DISTINCT source_pmcid, unnest(decoys) AS x FROM hard) SELECT query_id, count(ev.x) AS n_pool FROM hard JOIN ev ON NOT list_contains(hits, ev.x) AND NOT EXISTS (SELECT 1 FROM own WHERE own.source_pmcid = hard.source_pmcid AND own.x = ev.x) GROUP BY 1"))
@@ -217,7 +217,7 @@ def soft_pool(s, d):
 @query()
 def soft_sample(s, d):
     marked = views.terms(s, d).where(F.size("terms") > 0)
-    return decoys.soft_sample(decoys.soft_pool(_hard(s, d)), marked, 80, 42).select("query_id", _joined(F.col("soft")).alias("soft"))
+    return decoys.soft_sample(decoys.soft_pool(_hard(s, d, 19)), marked, 80, 42).select("query_id", _joined(F.col("soft")).alias("soft"))
 
 
 @query(oracle("v_ctx", "v_src", "v_terms", body=f"+ {_HARD}, p AS (SELECT query_id, hits[1] AS positive, unnest(decoys) AS pmid, generate_subscripts(decoys, 1) AS o FROM hard) SELECT query_id, o - 1 AS o, round(CASE WHEN len(a.terms) > 0 AND len(b.terms) > 0 THEN len(list_intersect(a.terms, b.terms)) / len(list_distinct(a.terms || b.terms)) END, 6) AS similarity FROM p JOIN v_terms a ON a.pmid = positive JOIN v_terms b ON b.pmid = p.pmid"))

@@ -218,3 +218,22 @@ def test_article_groups_of_a_long_chain(spark):
     found = decoys.article_groups(spark.createDataFrame(edges, "source_pmcid string, pmid string")).collect()
     assert {(x["source_pmcid"], x["part"]) for x in found} == {(f"A{i:03}", "A000") for i in range(120)} | {("B1", "B1"), ("B2", "B1"), ("C", "C")}
     assert len(found) == 123
+
+
+def test_soft_sample_draws_from_19_decoys(spark):
+    from citeset.plans import catalogue, views
+
+    sf = "/root/testdata/sf0.001"
+    rows = {x["query_id"]: x for x in decoys.decoy_options(views.contexts(spark, sf).where("n_hits = 1"), views.sources(spark, sf)).join(views.contexts(spark, sf).select("query_id", "hits"), "query_id").collect()}
+    marked = {x["pmid"] for x in views.terms(spark, sf).where(F.size("terms") > 0).collect()}
+    own = {}
+    for x in rows.values():
+        own.setdefault(x["source_pmcid"], set()).update(x["options"][:19])
+    every = set().union(*own.values())
+    pools = [(q, p) for q, x in rows.items() for p in every - own[x["source_pmcid"]] - set(x["hits"])]
+    hashes = spark.createDataFrame(pools, "q long, p string").withColumn("h", F.xxhash64(F.lit(42), "q", "p")).collect()
+    want = {}
+    for x in hashes:
+        want.setdefault(x["q"], []).append((x["p"] not in marked, x["h"], x["p"]))
+    got = {x["query_id"]: x["soft"].split(",") for x in catalogue.soft_sample(spark, sf).collect()}
+    assert got == {q: [p for _, _, p in sorted(v)[:80]] for q, v in want.items()}
