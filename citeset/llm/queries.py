@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import shared_dir, table
 
 
 def _tokenizer(name: str) -> str:
@@ -39,10 +39,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import append, token_counts
+    from .token_counts import append, stored_counts, token_counts
 
-    counts, fresh = token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 1024)
-    append(new_path(spark, "count-cache"), fresh)
+    path = f"{shared_dir(spark)}/count-cache"
+    counts, fresh = token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 1024, stored_counts(spark, path))
+    append(path, fresh)
     return counts
 
 

@@ -17,7 +17,7 @@ import hashlib
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stage
@@ -62,10 +62,18 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, cache: DataFrame |
     ask = rows.alias("r").join(first.alias("f"), (F.col("r.text_digest") == F.col("f.text_digest")) & F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
     fresh = stage(ask.select("text_digest", "text").mapInArrow(_count(tokenizer), "text_digest binary, n_tokens long"), "count-fresh")
     fresh = fresh.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    known = fresh if stored is None else fresh.unionByName(stored)
+    # Appended rows may be seen by a later read of the cache, so a digest can be in both.
+    known = fresh if stored is None else fresh.unionByName(stored).groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = keys.join(known, "text_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("text_digest").alias("text_digest"))
     return counts, fresh.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
 
 
+def stored_counts(spark: SparkSession, cache_path: str) -> DataFrame:
+    """The cache at a path; empty where nothing was appended yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.read.schema(CACHE).parquet(cache_path)
+
+
 def append(cache_path: str, rows: DataFrame) -> None:
     rows.write.mode("append").parquet(cache_path)

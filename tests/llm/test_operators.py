@@ -248,6 +248,22 @@ def test_pipeline(spark):
     assert got(corpus_pipeline.run(spark, SF), "doc_id", "piece", "ids_crc32") == got(last, "doc_id", "piece", "ids_crc32")
 
 
+def test_token_counts_reads_its_cache(spark, monkeypatch):
+    run = entry.queries()["op5_token_counts"]
+    want = got(run(spark, SF), "doc_id", "n_bytes", "n_tokens", "over_limit", "text_digest")
+
+    def no_misses(tokenizer):
+        def run(batches):
+            for batch in batches:
+                assert not batch.num_rows
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(token_counts, "_count", no_misses)
+    assert got(run(spark, SF), "doc_id", "n_bytes", "n_tokens", "over_limit", "text_digest") == want
+
+
 def test_pipeline_decides_by_row(spark, tmp_path):
     """Ids that are null, or repeat with other texts."""
     r = random.Random(5)
