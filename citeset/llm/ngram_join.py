@@ -11,8 +11,9 @@ class from the start; everything below runs on classes.
 * The boundary minimises the rows of both parts, from the sizes of all sets.
 
 Rarity is the exact frequency over all classes, counted for the shingles in the lowest ``SHARE`` of the
-hash space (others come later, in hash order): any common order is correct, and that part already holds
-the prefixes. A list never yields its pairs. Each member is tied to the list's first member of its size
+hash space (others come later, in hash order): any common order is correct. A probe prefix is about 15 % of
+a set at 0.85 and over 20 % at 0.8, so it takes most or all counted shingles, frequent ones included, and at
+0.8 uncounted ones too: rarity orders prefixes only in part. A list never yields its pairs. Each member is tied to the list's first member of its size
 band, and the components of these ties, which contain every linked pair, are verified one by one with
 whole sets: a set is compared by counting over the component's inverted lists, only with sets that no
 earlier comparison reached. Components beyond ``LARGEST`` shingles are verified as pairs of blocks.
