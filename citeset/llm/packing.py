@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stage
-from .tokens import encoder
+from .tokens import CHARACTERS, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -37,16 +37,17 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "
     """Pieces of at most ``size`` tokens; ``nth`` numbers the pieces of a length within a task."""
 
     def run(batches):
-        enc, end, task, seen = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), defaultdict(int)
+        enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CHARACTERS):
+                ids, at = enc.flat(part.column("text"))
+                raw = memoryview(np.insert(ids, at[1:], end_id)).cast("B")
+                at = at + np.arange(len(at))
                 rows = []
-                for key, raw in zip(part.column("id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * size)):
-                        ids = raw[at : at + 4 * size]
-                        n = len(ids) // 4
-                        rows.append((key, k, at // 4, n, zlib.crc32(ids), task, seen[n]))
+                for key, begin, close in zip(part.column("id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    for k, b in enumerate(range(begin, close, size)):
+                        n = min(size, close - b)
+                        rows.append((key, k, b - begin, n, zlib.crc32(raw[4 * b : 4 * (b + n)]), task, seen[n]))
                         seen[n] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)

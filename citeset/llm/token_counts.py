@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stage
-from .tokens import encoder
+from .tokens import CHARACTERS, encoder
 
 CACHE = "text_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -36,9 +36,8 @@ def _count(tokenizer: str):
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for piece in slices(batch, "text"):
-                counts = [len(x) // 4 for x in enc.encode(piece.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column("text_digest"), pa.array(counts, pa.int64())], names=["text_digest", "n_tokens"])
+            for piece in slices(batch, "text", CHARACTERS):
+                yield pa.RecordBatch.from_arrays([piece.column("text_digest"), pa.array(enc.counts(piece.column("text")), pa.int64())], names=["text_digest", "n_tokens"])
 
     return run
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import dac
 from .common import new_path, partitions, slices, stage, write_file
-from .tokens import encoder
+from .tokens import CHARACTERS, encoder
 
 FILE_TOKENS = 8_000_000
 READ_TOKENS = 500_000
@@ -33,26 +33,25 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
     """Encode every text, append ``end_id`` and write the files; returns the staged manifest with each file's first token position."""
 
     def write(batches):
-        shard, part, ids, lengths, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        shard, part, keys, lengths, held = TaskContext.get().partitionId(), 0, [], [], []
 
         def flush():
             path = f"{folder}/{shard:06d}-{part:06d}.dac"
-            tokens = np.frombuffer(b"".join(held), "<u4")
-            write_file(path, dac.encode(ids, lengths, tokens))
-            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": path, "n_docs": len(ids), "n_tokens": len(tokens)}], schema=SCHEMA)
+            sizes, tokens = np.concatenate(lengths), np.concatenate(held)
+            write_file(path, dac.encode(keys, sizes, tokens))
+            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": path, "n_docs": len(keys), "n_tokens": len(tokens)}], schema=SCHEMA)
 
-        end, enc = np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
+        enc = encoder(tokenizer)
         for batch in batches:
-            for piece in slices(batch, "text"):
-                for key, raw in zip(piece.column("id").to_pylist(), enc.encode(piece.column("text").to_pylist()), strict=True):
-                    held.append(raw + end)
-                    ids.append(key)
-                    lengths.append(len(raw) // 4 + 1)
-                    size += lengths[-1]
-                if size >= FILE_TOKENS:
+            for piece in slices(batch, "text", CHARACTERS):
+                ids, at = enc.flat(piece.column("text"))
+                held.append(np.insert(ids, at[1:], end_id))
+                lengths.append(np.diff(at) + 1)
+                keys += piece.column("id").to_pylist()
+                if sum(map(len, held)) >= FILE_TOKENS:
                     yield flush()
-                    part, ids, lengths, held, size = part + 1, [], [], [], 0
-        if ids:
+                    part, keys, lengths, held = part + 1, [], [], []
+        if keys:
             yield flush()
 
     SCHEMA = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])

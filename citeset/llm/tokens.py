@@ -6,10 +6,15 @@ known to allow this:
 
 * byte-level BPE with the usual pattern and no normalizer: a cut goes before every single space
   that a non-space follows (a pre-token may begin with such a space, none can contain it later);
-* BPE whose pre-tokenizer drops white space: a cut goes at every run of white space.
+* BPE whose pre-tokenizer drops white space: a cut goes at every run of ASCII white space.
 
 Any other tokenizer encodes each text as one piece. Special strings inside texts are left to
-the library.
+the library. Cutting, finding the distinct pieces of a batch and joining their ids are array
+operations; Python handles each distinct piece of a batch once.
+
+New pieces are encoded many at a time, as one text that the same cuts take apart again: by the ids
+that begin with a space, or by the id of a number sign put between the pieces (such a sign is always a
+pre-token of its own).
 """
 
 from __future__ import annotations
@@ -17,24 +22,28 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-from array import array
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import Memory
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-#: Pieces in one generation of a worker's memory; at most two generations are held.
-MEMORY_PIECES = 400_000
-#: Longer pieces are encoded each time and not remembered.
-LONGEST_PIECE = 64
+#: A worker remembers the pieces of its latest texts, and others up to this many.
+MEMORY_PIECES = 600_000
+#: New pieces encoded at once.
+TOGETHER = 4096
+#: Bytes of text that operators give to an encoder at a time.
+CHARACTERS = 8 << 20
 
-_AMBIGUOUS = re.compile(r" (?=\s|\Z)")
+#: A space that the end or any white space follows, in RE2; the cut of such texts is left to ``re``.
+_AMBIGUOUS = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 _BEFORE_WORD = re.compile(r" (?=\S)")
-_ASCII_SPACE = re.compile(r"[ \t-\r]+")
-_TAIL = re.compile(r"([^\W\d_]+|.*[^\W\d_])([,.!?;:|*$%&#]+\n?|\n)\Z", re.DOTALL)
+_SIGNS = "½²३¼"
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -47,6 +56,8 @@ def encoder(path: str) -> "PieceEncoder":
 
 
 class PieceEncoder(Memory):
+    """Known pieces are an array of names, with their ids one after another and the number of ids of each."""
+
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
@@ -55,71 +66,134 @@ class PieceEncoder(Memory):
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = _kind(spec)
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._begins = self._sign = None
+        if self.kind == "spaces kept":
+            vocabulary = self.tokenizer.get_vocab()
+            self._begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._begins[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
+        elif self.kind == "spaces dropped":
+            single = ((x, self.tokenizer.encode(x, add_special_tokens=False).ids) for x in _SIGNS)
+            self._sign = next(((x, ids[0]) for x, ids in single if len(ids) == 1), None)
+        self.clear()
 
     def clear(self) -> None:
-        self._new, self._old = {}, {}
-
-    def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.kind == "spaces kept":
-            if _AMBIGUOUS.search(text):
-                first, *rest = _BEFORE_WORD.split(text)
-            else:
-                first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        self._names, self._flat, self._sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces, texts' first pieces, the piece numbers of all texts one after another, and where each text's begin (with the end).
+
+        Where spaces are kept, a text's first piece has no space before it and is encoded each time; the others are named without theirs.
+        """
+        if self.kind == "whole":
+            flat = texts.dictionary_encode()
+            return flat.dictionary, [], flat.indices.to_numpy(), np.arange(len(texts) + 1)
+        lists = pc.split_pattern(texts, " ") if self.kind == "spaces kept" else pc.ascii_split_whitespace(texts)
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+        flat = lists.flatten()
         if self.kind == "spaces dropped":
-            return text.split() if text.isascii() and not re.search("[\x1c-\x1f]", text) else [x for x in _ASCII_SPACE.split(text) if x]
-        return [text]
+            flat = flat.dictionary_encode()
+            return flat.dictionary, [], flat.indices.to_numpy(), at
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _AMBIGUOUS).to_numpy(zero_copy_only=False))
+        if len(odd):
+            parts, end = [], 0
+            for i in odd:
+                first, *rest = _BEFORE_WORD.split(texts[int(i)].as_py())
+                parts += [flat.slice(end, at[i] - end), pa.array([first, *rest], pa.string())]
+                end = at[i + 1]
+            sizes = np.diff(at)
+            sizes[odd] = [len(x) for x in parts[1::2]]
+            flat, at = pa.concat_arrays([*parts, flat.slice(end)]), np.concatenate([[0], np.cumsum(sizes)])
+        first = flat.take(pa.array(at[:-1])).to_pylist()
+        flat = flat.dictionary_encode()
+        codes = flat.indices.to_numpy().astype(np.int64)
+        codes[at[:-1]] = len(flat.dictionary) + np.arange(len(first))
+        return flat.dictionary, first, codes, at
+
+    def _sized(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of known and first pieces one after another, where each piece's begin, how many it has, and pieces and places as ``_cut`` gives them."""
+        self.use()
+        names, first, codes, at = self._cut(pc.fill_null(texts, ""))
+        place = pc.index_in(names, value_set=self._names)
+        if place.null_count:
+            self._learn(names.filter(place.is_null()))
+            place = pc.index_in(names, value_set=self._names)
+        place = place.to_numpy().astype(np.int64)
+        flat, sizes = self._flat, self._sizes
+        starts = np.cumsum(sizes) - sizes
+        if first:
+            more, own = self._encode_each(first)
+            place = np.concatenate([place, len(sizes) + np.arange(len(first))])
+            starts = np.concatenate([starts, len(flat) + np.cumsum(own) - own])
+            flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, own])
+        if len(self._names) > MEMORY_PIECES:
+            keep = place[: len(names)]
+            self._names, self._flat, self._sizes = names, flat[_runs(starts[keep], sizes[keep])], sizes[keep]
+        return flat, starts, sizes, place[codes], at
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (with the end); null counts as empty."""
+        flat, starts, sizes, codes, at = self._sized(texts)
+        n = sizes[codes]
+        return flat[_runs(starts[codes], n)], np.concatenate([[0], np.cumsum(n)])[at]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        _, _, sizes, codes, at = self._sized(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[at])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        self.use()
-        cut = [self.pieces(x or "") for x in texts]
-        known = self._new
-        missing = set().union(*cut).difference(known.keys())
-        if missing:
-            old = self._old
-            for x in [x for x in missing if x in old]:
-                known[x] = old[x]
-                missing.discard(x)
-            self._learn(missing)
-        out = [b"".join(map(known.__getitem__, x)) for x in cut]
-        if missing:
-            for x in [x for x in missing if len(x) > LONGEST_PIECE]:
-                del known[x]
-        if len(known) > MEMORY_PIECES:
-            self._old, self._new = known, {}
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        known, split, heads = self._new, [], set()
-        whole = []
-        for x in missing:
-            # A pre-token ends between a letter and these marks; ASCII letters may be lowered beforehand.
-            m = _TAIL.match(x.lower() if self.kind == "spaces dropped" and x.isascii() else x) if self.kind != "whole" else None
-            if m and m[1][-1].lower().isalpha():  # not so for letters that are lowered to several characters
-                split.append((x, m[1], m[2]))
-                heads.update(m.groups())
+        ids, at = self.flat(pa.array(list(texts), pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids one after another, and how many each text has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((x for own in ids for x in own), np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, missing: pa.Array) -> None:
+        avoid = {"spaces kept": " ", "spaces dropped": self._sign and self._sign[0]}.get(self.kind)
+        empty = pc.equal(missing, "")
+        alone = pc.or_(empty, pc.match_substring(missing, avoid)) if avoid else pa.array([True] * len(missing))
+        single, joined, lead = missing.filter(alone).to_pylist(), missing.filter(pc.invert(alone)).to_pylist(), " " * (self.kind == "spaces kept")
+        names, flat, sizes = [self._names], [self._flat], [self._sizes]
+        for i in range(0, len(joined), TOGETHER):
+            part = joined[i : i + TOGETHER]
+            found = self._encode_joined(part)
+            if found is None:
+                single += part
             else:
-                whole.append(x)
-        ask = list({*whole, *(x for x in heads if x not in known)})
-        for i in range(0, len(ask), 4096):
-            part = ask[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[x] = _pack(e.ids)
-        for x, head, tail in split:
-            known[x] = known[head] + known[tail]
-        missing.update(ask)
-
-
-def _pack(ids: list[int]) -> bytes:
-    raw = array("I", ids)
-    if sys.byteorder == "big":
-        raw.byteswap()
-    return raw.tobytes()
+                names.append(pa.array(part, pa.string()))
+                flat.append(found[0])
+                sizes.append(found[1])
+        for i in range(0, len(single), TOGETHER):
+            part = single[i : i + TOGETHER]
+            found = self._encode_each([x and lead + x for x in part])  # the empty name is what repeated white space leaves
+            names.append(pa.array(part, pa.string()))
+            flat.append(found[0])
+            sizes.append(found[1])
+        self._names, self._flat, self._sizes = pa.concat_arrays(names), np.concatenate(flat), np.concatenate(sizes)
+
+    def _encode_joined(self, part: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for pieces encoded as one text; None if its ids can't be told apart."""
+        text = " " + " ".join(part) if self.kind == "spaces kept" else f" {self._sign[0]} ".join(part)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        if self.kind == "spaces kept":
+            begin = np.flatnonzero(self._begins[ids])
+            sizes = np.diff(np.append(begin, len(ids)))
+            whole = len(begin) and not begin[0]
+        else:
+            sign = ids == self._sign[1]
+            sizes = np.diff(np.concatenate([[-1], np.flatnonzero(sign), [len(ids)]])) - 1
+            ids, whole = ids[~sign], True
+        return (ids, sizes) if whole and len(sizes) == len(part) else None
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... of each run in turn."""
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def _kind(spec: dict) -> str:
