@@ -1,13 +1,10 @@
-"""Shared folder, staged tables and file access used by the operators of this subpackage."""
+"""Tables, batches, workers' memory and file access used by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import ClassVar
@@ -16,46 +13,9 @@ from urllib.parse import urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a temporary folder is used, in local mode only.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="citeset-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from ..staging import bounded, discard, new_path, shared_dir, stage
 
+__all__ = ["Memory", "RangeReader", "bounded", "discard", "new_path", "partitions", "shared_dir", "slices", "stage", "table", "write_file"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

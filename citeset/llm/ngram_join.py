@@ -1,27 +1,31 @@
 """Jaccard self-join on word shingles: size-aware, light sets by subsets, heavy sets by inverted lists.
 
 A document's set has the distinct shingles of ``k`` words (a shorter text is one shingle). Sets are
-linked when the intersection is at least ``num / den`` of the union. Documents with equal sets are one
-class from the start; everything below runs on classes.
+linked when the intersection is at least ``num / den`` of the union.
 
 * Light sets (at most ``boundary`` shingles): a linked pair of sizes m and n shares c(m, n) shingles, so
-  each set lists its subsets of the sizes c that occur for it; linked pairs have a subset in common.
-* Heavy sets: shingles are ordered by rarity and each set's necessary prefix enters inverted lists;
-  a list is scanned for the sets that a heavy set's prefix meets in it.
-* The boundary minimises the rows of both parts, from the sizes of all sets.
-
-Rarity is the exact frequency over all classes, counted for the shingles in the lowest ``SHARE`` of the
-hash space (others come later, in hash order): any common order is correct. A probe prefix is about 15 % of
-a set at 0.85 and over 20 % at 0.8, so it takes most or all counted shingles, frequent ones included, and at
-0.8 uncounted ones too: rarity orders prefixes only in part. A list never yields its pairs. Each member is tied to the list's first member of its size
-band, and the components of these ties, which contain every linked pair, are verified one by one with
-whole sets: a set is compared by counting over the component's inverted lists, only with sets that no
-earlier comparison reached. Components beyond ``LARGEST`` shingles are verified as pairs of blocks.
-
-Hashes have 64 bits (a class key 128). Null, empty and blank texts have no shingles and no links; each is
-its own component. A null id counts in classes but is never a component's name unless all its ids are
-null. Repeated rows are members of one class. Empty tables give an empty result. Only id and text
-are read.
+  each set lists its subsets of the sizes c that occur for it, and linked pairs have a subset in common.
+  Every member of a subset's list is linked to the list's smallest set if c is enough for both sizes, and
+  to no member otherwise: these links are certain and need no texts.
+* Heavy sets: linked sets differ in at most d shingles, so of more than d parts of the hash space one has
+  the same shingles in both. A set enters one inverted list per part, named by all its shingles there
+  (about five), for its own band of sizes and for the next. A set with so many empty parts that the equal one may be
+  empty enters, besides, the lists of the shingles of its prefix in hash order. Members of a list are tied to
+  its largest set; the components of these ties contain every link of a heavy set. Within each, the inverted lists
+  of single shingles are scanned with counts: a set is compared only with sets that nothing reached before.
+* The boundary minimises the cost of both ways, from the subsets of light sets and the lengths that
+  their lists have. It is at most ``most(t)``, up to where a set has no more subsets than twice its shingles.
+
+A list never yields its pairs. Equal signatures of a block of texts meet before they are shuffled, so a
+list that a third of all sets share has one entry per block. Components beyond ``LARGEST`` shingles are
+verified in several tasks: blocks of their sets, each with some pivots, until all sets outside the component's
+largest cluster have been pivots (one or two rounds for a group of near copies).
+
+Hashes of shingles and subsets have 64 bits, a set's key 128. Null, empty and blank texts have no shingles and no
+links; each is its own component. A null id counts in classes but is never a component's name unless all
+its ids are null. Repeated rows are members of one class; rows with one id and other texts are other
+sets. A text may have any length: its shingles are held by one task, 8 bytes each. Empty tables give an
+empty result. Only id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,47 +35,66 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import partitions, slices, stage
-from .components import components
-from .samples import Words
+from ..operators.graph import components
+from .common import bounded, partitions, slices, stage
 
-SHARE = 0.17
-#: Sets of at most SMALL shingles are kept whole for subsets, so the boundary is at most SMALL.
-SMALL = 24
-LARGEST = 4_000_000
-#: A table of ids up to this many rows is broadcast; beyond that it is joined by a shuffle.
-FEW_IDS = 200_000
-
-_word = Words(xxhash.xxh3_64_intdigest)
+#: Shingles of a component that one task verifies.
+LARGEST = 1_000_000
+#: Buckets of signatures for each shuffle partition.
+BUCKETS = 4
 _A = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text, lowering A-Z only, cut at ASCII white space."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(_word(words), np.uint64)
-    k = min(k, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+_ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<u4"), ("n", "u1")])  # 40 bits of a signature
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its shingles, lowering A-Z only, cut at ASCII white space."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    words = flat.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
+    codes = flat.indices.to_numpy()
+    real = np.array([x != "" for x in words], bool)[codes] if words else np.zeros(0, bool)
+    h = hashes[codes[real]] if words else np.zeros(0, np.uint64)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.concatenate([[0], np.cumsum(real)])[edge]
+    whole = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for i in range(k):
-        out = out * _A + h[i : len(h) - k + 1 + i]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+        whole = whole * _A + h[i : len(whole) + i]
+    whole = _mix(whole)
+    out = []
+    for b, e in itertools.pairwise(at.tolist()):
+        if e - b >= k:
+            out.append(np.unique(whole[b : e - k + 1]))
+        elif e == b:
+            out.append(np.zeros(0, np.uint64))
+        else:
+            x = np.full(1, e - b, np.uint64)
+            for i in range(b, e):
+                x = x * _A + h[i]
+            out.append(_mix(x))
+    return out
 
 
 class Threshold:
-    """Jaccard of at least num/den, in whole numbers."""
+    """Jaccard of at least num/den, in whole numbers, and the bands of sizes: linked sizes are in one band or in neighbouring ones."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.starts, self.parts, self.spare = [1], [], []  # per band: first size, parts of the hash space, parts that may be empty
 
     def shared(self, m: int, n: int) -> int:
         """Least intersection of linked sets of sizes m and n."""
@@ -83,78 +106,195 @@ class Threshold:
     def subset_sizes(self, n: int, most: int) -> list[int]:
         return sorted({self.shared(n, m) for m in self.partners(n) if m <= most and self.shared(n, m) <= min(m, n)})
 
-    def probe(self, n: int) -> int:
-        """Prefix of a set that looks up smaller or equal sets."""
+    def subsets(self, n: int) -> int:
+        return sum(math.comb(n, c) for c in self.subset_sizes(n, self.den * n // self.num))
+
+    def most(self) -> int:
+        """Up to this size a set has at most twice as many subsets as shingles."""
+        return next(n for n in itertools.count(1) if self.subsets(n + 1) > 2 * (n + 1))
+
+    def prefix(self, n: int) -> int:
+        """Linked sets have a shingle in common among the first so many of either, in any common order."""
         return n - -(-self.num * n // self.den) + 1
 
-    def index(self, n: int) -> int:
-        """Prefix of a set that larger or equal sets look up."""
-        return n - self.shared(n, n) + 1
+    def reach(self, n: int) -> None:
+        """Make the bands up to size n and the one after it."""
+        while len(self.parts) < 2 or self.starts[-2] <= n:
+            start, end = self.starts[-1], self.den * self.starts[-1] // self.num + 1
+            differ = 2 * (end - 1) * (self.den - self.num) // (self.num + self.den)
+            least, k = -(-self.num * start // self.den), differ + 1
+            for _ in range(4):  # few of the smallest sets at this band have more empty parts than are spare
+                empty = k * math.exp(-least / k)
+                k = differ + 1 + math.ceil(empty + 3 * math.sqrt(empty))
+            self.parts.append(k)
+            self.spare.append(k - differ - 1)
+            self.starts.append(end)
+
+
+def signatures(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the lists that sets enter, and the number of the set for each."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if not size.sum():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    t.reach(int(size.max()))
+    starts, parts, spare = np.array(t.starts), np.array(t.parts), np.array(t.spare)
+    own = np.searchsorted(starts, size, "right") - 1
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    names, who = [], []
+    for up in (0, 1):
+        band = own + up
+        here = (size > 0) if not up else (size > 0) & (t.den * size >= t.num * starts[band])  # may be linked to a set of the next band
+        use = here[owner]
+        x, o = flat[use], owner[use]
+        if not len(x):
+            continue
+        k = parts[band].astype(np.uint64)
+        part = ((x >> np.uint64(32)) * k[o]) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (part[1:] != part[:-1])]))
+        sums, o = np.add.reduceat(x, first), o[first]
+        names.append(_mix(sums * _A + (band[o].astype(np.uint64) << np.uint64(1))))
+        who.append(o)
+        filled = np.bincount(o, minlength=len(sets))
+        for i in np.flatnonzero(here & (parts[band] - filled > spare[band])):
+            p = sets[i][: t.prefix(int(size[i]))]
+            names.append(_mix(p * _A + ((np.uint64(band[i]) << np.uint64(1)) | np.uint64(1))))
+            who.append(np.full(len(p), i))
+    return np.concatenate(names), np.concatenate(who)
+
+
+def _ties(name: np.ndarray, node: np.ndarray, n: np.ndarray, most: int):
+    """Of entries of lists: which is the largest set of each list, ties to it, and for each small size the lengths of its lists."""
+    order = np.lexsort((node, -n.astype(np.int64), name))
+    name, node, n = name[order], node[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    length = np.diff(np.append(first, len(name)))
+    cost = np.bincount(np.minimum(n, most + 1), weights=np.repeat(length, length), minlength=most + 2)[: most + 1].astype(np.int64)
+    top = np.repeat(first, length)
+    tied = np.flatnonzero(node != node[top])
+    a, b = node[tied], node[top[tied]]
+    if len(a):
+        by = np.lexsort((b, a))
+        tied, a, b = tied[by], a[by], b[by]
+        once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        tied, a, b = tied[once], a[once], b[once]
+    return order[first], (a, b, n[tied], n[top[tied]]), cost
+
+
+_TIE_NAMES = ["a", "b", "na", "nb"]
+
+
+def _tie_rows(ties, cost) -> list[pa.Array]:
+    """Ties, and rows without ties that hold a small size and the lengths of its lists."""
+    sizes = np.flatnonzero(cost)
+    none = pa.nulls(len(sizes), pa.int64())
+    a, b, na, nb = (pa.array(np.asarray(x, np.int64)) for x in ties)
+    more = (none, none, pa.array(sizes, pa.int64()), pa.array(cost[sizes], pa.int64()))
+    return [pa.concat_arrays(x) for x in zip((a, b, na, nb), more, strict=True)]
+
+
+def _scan(k: int, t: Threshold, buckets: int):
+    """Rows for documents, for ties within a block of texts, and for what each bucket of signatures gets of the block."""
+    most = t.most()
+    types = {"n": pa.int64(), "key": pa.binary(), "node": pa.int64(), "small": pa.binary(), "a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "bucket": pa.int32(), "base": pa.int64(), "entries": pa.binary()}
+
+    def run(batches):
+        base = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+
+            def rows(kind=kind, **given):
+                size = len(next(iter(given.values())))
+                columns = [given[c] if c in given else pa.nulls(size, x) for c, x in {"doc_id": kind, **types}.items()]
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", *types])
+
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text"), k)
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                place: dict[bytes, int] = {}
+                local = [place.setdefault(x, len(place)) for x in keys]
+                one = [sets[i] for i in np.unique(local, return_index=True)[1]]
+                small = [s.astype("<u8").tobytes() if 0 < len(s) <= most else None for s in sets]
+                yield rows(doc_id=part.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), key=pa.array(keys, pa.binary()), node=pa.array(base + np.array(local, np.int64)), small=pa.array(small, pa.binary()))
+                name, who = signatures(one, t)
+                if len(name):
+                    n = np.minimum([len(s) for s in one], 255)
+                    kept, ties, cost = _ties(name, who, n[who], most)
+                    a, b, na, nb = _tie_rows((ties[0] + base, ties[1] + base, *ties[2:]), cost * 0)
+                    yield rows(a=a, b=b, na=na, nb=nb)
+                    name, who = name[kept], who[kept]
+                    bucket = (name >> np.uint64(40)) % np.uint64(buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    entries = np.empty(len(order), _ENTRY)
+                    entries["low"], entries["high"], entries["node"], entries["n"] = name[order] & np.uint64(0xFFFFFFFF), (name[order] >> np.uint64(32)) & np.uint64(255), who[order], n[who[order]]
+                    used, first = np.unique(bucket[order], return_index=True)
+                    held = [entries[x:y].tobytes() for x, y in itertools.pairwise([*first.tolist(), len(order)])]
+                    yield rows(bucket=pa.array(used.astype(np.int32)), base=pa.array(np.full(len(used), base)), entries=pa.array(held, pa.binary()))
+                base += len(place)
+
+    return run
 
-    def band(self, n):
-        """Linked sizes are in the same or in neighbouring bands."""
-        return F.floor(F.log(n.cast("double")) / math.log(self.den / self.num) + 1e-9)
 
+def _meet(most: int):
+    """Blocks sorted by bucket; gives ties and costs of each bucket."""
 
-def _scan(k: int, t: Threshold):
-    limit = np.uint64(int(SHARE * 2**64))
+    def emit(base, held):
+        x = np.frombuffer(b"".join(held), _ENTRY)
+        node = np.repeat(np.array(base, np.int64), [len(b) // _ENTRY.itemsize for b in held]) + x["node"]
+        name = (x["high"].astype(np.uint64) << np.uint64(32)) | x["low"]
+        _, ties, cost = _ties(name, node, x["n"], most)
+        return pa.RecordBatch.from_arrays(_tie_rows(ties, cost), names=_TIE_NAMES)
 
     def run(batches):
+        current, base, held = None, [], []
         for batch in batches:
-            for part in slices(batch, "text"):
-                n, keys, heads, low = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    s = shingles(text, k)
-                    counted = int(np.searchsorted(s, limit))
-                    n.append(len(s))
-                    low.append(counted)
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    heads.append(s[: len(s) if len(s) <= SMALL else max(counted, t.probe(len(s)))].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(low, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "n", "key", "low", "head"])
+            for bucket, first, entries in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "entries")), strict=True):
+                if bucket != current and held:
+                    yield emit(base, held)
+                    base, held = [], []
+                current = bucket
+                base.append(first)
+                held.append(entries)
+        if held:
+            yield emit(base, held)
 
     return run
 
 
-def _spread(batches):
-    """A row per shingle of a head with its place in it. Heads are in hash order, so counted shingles come first."""
-    for batch in batches:
-        for part in slices(batch, "head", 1 << 20):
-            heads = [np.frombuffer(x, "<i8") for x in part.column("head").to_pylist()]
-            sizes = np.array([len(x) for x in heads])
-            at = np.concatenate([np.arange(x) for x in sizes]) if len(sizes) else np.zeros(0, int)
-            cols = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "n", "low")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(at)], names=["shingle", "node", "n", "low", "at"])
+def boundary(counts: dict[int, int], lengths: dict[int, int], t: Threshold) -> int:
+    """The size of light sets that costs least: their subsets against the lists that heavy sets scan."""
+    best, where, total = 0, 0, 0
+    for n in range(1, t.most() + 1):
+        total += counts.get(n, 0) * t.subsets(n) - lengths.get(n, 0)
+        if total < best:
+            best, where = total, n
+    return where
 
 
 def _subsets(t: Threshold, most: int):
     def run(batches):
         for batch in batches:
             out = []
-            for node, n, head in zip(*(batch.column(x).to_pylist() for x in ("node", "n", "head")), strict=True):
-                ids = [head[8 * i : 8 * i + 8] for i in range(n)]
+            for node, n, small in zip(*(batch.column(x).to_pylist() for x in ("node", "n", "small")), strict=True):
+                ids = [small[8 * i : 8 * i + 8] for i in range(n)]
                 for c in t.subset_sizes(n, most):
-                    out += [(int.from_bytes(xxhash.xxh3_64_digest(b"".join(x)), "little", signed=True), node, n) for x in itertools.combinations(ids, c)]
+                    out += [(int.from_bytes(xxhash.xxh3_64_digest(b"".join(x)), "little", signed=True), c, node, n) for x in itertools.combinations(ids, c)]
                 if len(out) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["list", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["list", "c", "node", "n"])
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["list", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["list", "c", "node", "n"])
 
     return run
 
 
-def boundary(sizes: dict[int, int], t: Threshold) -> int:
-    """The largest size of light sets that makes the rows of both parts fewest.
-
-    A prefix entry costs two rows, as it asks the first members of two bands, however long its list is.
-    """
-    best, where, total = 0.0, 0, 0.0
-    for n in range(1, SMALL + 1):
-        light = sum(math.comb(n, c) for c in t.subset_sizes(n, SMALL))
-        total += sizes.get(n, 0) * (light - 2 * t.probe(n))
-        if total < best:
-            best, where = total, n
-    return where
+def light_links(classes: DataFrame, t: Threshold, light: int) -> DataFrame:
+    """Links ``(a, b)`` between sets of at most ``light`` shingles: each list's members with its smallest set."""
+    rows = classes.where(F.col("n") <= light).select("node", "n", "small").mapInArrow(_subsets(t, light), "list long, c long, node long, n long")
+    rows = stage(rows, "subsets")
+    # Staged apart, so that a list which very many sets share is a skewed partition that can be split.
+    first = stage(rows.groupBy("list", "c").agg(F.min(F.struct("n", "node")).alias("first"), F.count("*").alias("m")).where("m > 1").select("list", "c", "first"), "subset-lists")
+    met = rows.join(first, ["list", "c"]).where((F.col("node") != F.col("first.node")) & ((t.num + t.den) * F.col("c") >= t.num * (F.col("n") + F.col("first.n"))))
+    return met.select(F.col("node").alias("a"), F.col("first.node").alias("b"))
 
 
 def _members(sets: list[np.ndarray], t: Threshold) -> list[int]:
@@ -192,101 +332,106 @@ def _members(sets: list[np.ndarray], t: Threshold) -> list[int]:
 
 
 def _verify(k: int, t: Threshold):
-    """Rows sorted by group; gives ``(node, root)`` of each group, the root being its own smallest node."""
+    """Rows sorted by group; gives ``(a, b)``: each set and the first set of its true component within the group."""
 
     def groups(batches):
         name, nodes, sets = None, [], []
         for batch in batches:
-            for g, node, key, text in zip(*(batch.column(x).to_pylist() for x in ("grp", "node", "key", "text")), strict=True):
-                if g != name:
-                    if nodes:
-                        yield name, nodes, sets
-                    name, nodes, sets = g, [], []
-                s = shingles(text, k)
-                if xxhash.xxh3_128_digest(s.tobytes()) == key and (not nodes or nodes[-1] != node):
-                    nodes.append(node)
-                    sets.append(s)
+            for part in slices(batch, "text"):
+                for g, b, node, key, s in zip(*(part.column(x).to_pylist() for x in ("root", "block", "node", "key")), shingle_sets(part.column("text"), k), strict=True):
+                    if (g, b) != name:
+                        if nodes:
+                            yield nodes, sets
+                        name, nodes, sets = (g, b), [], []
+                    if (not nodes or nodes[-1] != node) and xxhash.xxh3_128_digest(s.tobytes()) == key:
+                        nodes.append(node)
+                        sets.append(s)
         if nodes:
-            yield name, nodes, sets
+            yield nodes, sets
 
     def run(batches):
         out = []
-        for name, nodes, sets in groups(batches):
-            for node, root in zip(nodes, _members(sets, t), strict=True):
-                out.append((name, node, nodes[root]))
+        for nodes, sets in groups(batches):
+            out += [(node, nodes[root]) for node, root in zip(nodes, _members(sets, t), strict=True) if node != nodes[root]]
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["grp", "node", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["grp", "node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _prefix_lists(spread: DataFrame, counts: DataFrame, t: Threshold, light: int) -> DataFrame:
-    """Rows ``(list, node, n, index, probe)`` of the prefixes in rarity order.
+def verified_links(texts: DataFrame, own: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """True links ``(a, b)`` that connect every true component within the candidate components.
 
-    Shingles that occur once can't meet any other set: they are the rarest and only take places. Shingles
-    outside the counted part come last, in hash order, where their place is known already.
+    ``own`` has a row ``node, root, n, key, first`` for each set, ``first`` being an id whose text has that set.
     """
-    n, late = F.col("n"), F.col("at") >= F.col("low")
-    many = spread.where(n >= -(-t.num * (light + 1) // t.den)).join(counts, "shingle").withColumn("late", late)
-    own = Window.partitionBy("node")
-    once = F.col("low") - F.sum((~F.col("late")).cast("long")).over(own)
-    rank = F.row_number().over(own.orderBy("late", "seen", "shingle")) - 1
-    placed = many.withColumn("place", F.when(F.col("late"), F.col("at")).otherwise(once + rank))
-    probe = n - F.ceil(n * t.num / F.lit(t.den)) + 1
-    index = n - F.ceil(n * 2 * t.num / F.lit(t.num + t.den)) + 1
-    flagged = placed.select(F.col("shingle").alias("list"), "node", "n", (F.col("place") < index).alias("index"), ((F.col("place") < probe) & (n > light)).alias("probe"))
-    return flagged.where("index OR probe")
-
-
-def _ties(lists: DataFrame, t: Threshold) -> DataFrame:
-    """Edges from each member of a list to the first indexed member of its band, and of the band below."""
-    rows = lists.withColumn("band", t.band(F.col("n")))
-    first = rows.where("index").groupBy("list", "band").agg(F.min("node").alias("b"))
-    ask = rows.select("list", "band", F.col("node").alias("a")).unionAll(rows.where("probe").select("list", (F.col("band") - 1).alias("band"), F.col("node").alias("a")))
-    return ask.join(first, ["list", "band"]).where("a <> b").select("a", "b")
+    spark = texts.sparkSession
+
+    def compare(tasks: DataFrame, name: str) -> DataFrame:
+        """``tasks`` has a row ``root, block, node, key, first`` for each set that a block holds."""
+        asked = tasks.alias("i")
+        found = texts.alias("d").join(bounded(asked), F.col("d.doc_id").eqNullSafe(F.col("i.first"))).select("root", "block", "node", "key", "text")
+        return stage(found.repartition(partitions(spark), "root", "block").sortWithinPartitions("root", "block", "node").mapInArrow(_verify(k, t), "a long, b long"), name)
+
+    weight = stage(own.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1"), "component-sizes")
+    sized = own.join(weight.select("root", F.ceil(F.col("total") / LARGEST).alias("blocks")), "root")
+    links = compare(sized.where("blocks = 1").select("root", F.lit(0).cast("long").alias("block"), "node", "key", "first"), "verified")
+    large = stage(sized.where("blocks > 1").select("root", "node", "n", "key", "first", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "large-components")
+    left, turn = large, 0  # sets that are to be pivots
+    while not left.isEmpty():
+        # A share of the sets that is left, chosen by hash, of about LARGEST shingles in each component.
+        share = stage(left.groupBy("root").agg((F.lit(LARGEST) / F.sum("n")).alias("share")), "pivot-shares")
+        picked = (F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).alias("picked")
+        chosen = stage(left.join(share, "root").where(picked), "pivots")
+        copies = chosen.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "key", "first")
+        tasks = copies.unionByName(large.select("root", "block", "node", "key", "first")).distinct()
+        links = stage(links.unionByName(compare(tasks, "verified-block")), "links")
+        clusters = _clusters(large, links)
+        main = clusters.groupBy("root", "cluster").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("main"))
+        outside = clusters.join(stage(main, "main-clusters"), "root").where("cluster <> main").select("node")
+        left = stage(left.join(outside, "node", "left_semi").join(chosen.select("node"), "node", "left_anti"), "left-sets")
+        turn += 1
+    return links
+
+
+def _clusters(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``root, node, cluster``: the component by true links so far of each set of a candidate component."""
+    named = components(links).select("node", F.col("root").alias("c"))
+    return stage(sets.select("root", "node").join(named, "node", "left").select("root", "node", F.coalesce("c", "node").alias("cluster")), "clusters")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, class_id`` (the class: rows with equal sets)."""
     spark, t = docs.sparkSession, Threshold(num, den)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, most = docs.schema[id_col].dataType.simpleString(), t.most()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = texts.mapInArrow(_scan(k, t), f"doc_id {kind}, n long, key binary, low long, head binary")
-    sets = stage(sets, "sets")
-    rows = sets.select("doc_id", "n", "key")
-    grouped = sets.where("n > 0").groupBy("key", "n", "low").agg(F.min("doc_id").alias("first"), F.first("head").alias("head"))
-    classes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-
-    spread = classes.select("node", "n", "low", "head").mapInArrow(_spread, "shingle long, node long, n long, low long, at long")
-    counts = stage(spread.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1"), "shingle-counts")
-    sizes = {x["n"]: x["count"] for x in classes.where(F.col("n") <= SMALL).groupBy("n").count().collect()}  # at most SMALL rows
-    light = boundary(sizes, t)
-
-    lists = _prefix_lists(spread, counts, t, light)
-    small = classes.where(F.col("n") <= light).select("node", "n", "head").mapInArrow(_subsets(t, light), "list long, node long, n long")
-    small = small.select("list", "node", "n", F.lit(True).alias("index"), F.lit(True).alias("probe"))
-    ties = _ties(stage(lists.unionByName(small), "lists"), t)
-    candidates = components(ties)
-
-    own = stage(candidates.join(classes.select("node", "n", "key", "first"), "node"), "candidates")
-    weight = own.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.ceil(F.col("total") / LARGEST).alias("blocks"))
-    own = own.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.concat_ws(".", F.col("root"), F.least(j, F.col("block")), F.greatest(j, F.col("block")), F.col("blocks")))
-    tasks = own.select("node", "key", "first", other.alias("groups"))
-    ids = tasks.select("node", "key", "groups", F.col("first").alias("doc_id"))
-    ids = F.broadcast(ids) if own.count() <= FEW_IDS else ids
-    found = texts.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))).select("node", "key", "text", F.explode("groups").alias("grp"))
-    verified = stage(found.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "node").mapInArrow(_verify(k, t), "grp string, node long, root long"), "verified")
-    whole = F.substring_index("grp", ".", -1) == "1"
-    edges = verified.where(~whole & (F.col("node") != F.col("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = verified.where(whole).select("node", "root")
-    if not edges.isEmpty():
-        roots = roots.unionAll(components(edges))
-    named = classes.select("node", "key", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    ddl = f"doc_id {kind}, n long, key binary, node long, small binary, a long, b long, na long, nb long, bucket int, base long, entries binary"
+    scanned = stage(texts.mapInArrow(_scan(k, t, BUCKETS * partitions(spark)), ddl), "sets")
+    rows = scanned.where("key IS NOT NULL").select("doc_id", "n", "key", "node", "small")
+    blocks = scanned.where("bucket IS NOT NULL").select("bucket", "base", "entries")
+    met = blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(most), "a long, b long, na long, nb long")
+    met = stage(met, "ties")
+
+    # Equal sets of several blocks of texts are one class; its node is the smallest.
+    grouped = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("small").alias("small"))
+    classes = stage(grouped, "classes")
+    counts = {x["n"]: x["count"] for x in classes.where(F.col("n") <= most).groupBy("n").count().collect()}  # at most ``most`` rows
+    lengths = {x["na"]: x["cost"] for x in met.where("a IS NULL").groupBy("na").agg(F.sum("nb").alias("cost")).collect()}  # the same
+    light = boundary(counts, lengths, t)
+
+    # Lists whose largest set is light hold light sets only.
+    ties = met.unionByName(scanned.select("a", "b", "na", "nb")).where((F.col("a") != F.col("b")) & (F.col("nb") > light)).select("a", "b")
+    copies = rows.where("n > 0").select("key", F.col("node").alias("a")).distinct().join(classes.select("key", F.col("node").alias("b")), "key").where("a <> b").select("a", "b")
+    candidates = components(ties.unionByName(copies))
+    own = stage(candidates.join(classes, "node").select("node", "root", "n", "key", "first"), "candidates")
+    links = verified_links(texts, own, k, t)
+    if light:
+        links = links.unionByName(light_links(classes, t, light))
+    roots = components(links)
+    named = stage(classes.select("node", "key", "first").join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root")), "class-roots")
+    names = stage(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-names")
     result = stage(named.join(names, "root").select("key", "component_id", F.col("first").alias("class_id")), "class-components")
-    joined = rows.join(result, "key", "left")
+    joined = rows.select("doc_id", "n", "key").join(result, "key", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))

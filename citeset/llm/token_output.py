@@ -24,7 +24,7 @@ from . import dac
 from .common import new_path, partitions, slices, stage, write_file
 from .tokens import CHARACTERS, encoder
 
-FILE_TOKENS = 8_000_000
+FILE_TOKENS = 4_000_000
 READ_TOKENS = 500_000
 MANIFEST = "shard int, part int, path string, n_docs long, n_tokens long"
 

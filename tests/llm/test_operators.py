@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from citeset import staging
 from citeset.llm import (
     decontaminate,
     exact_dedup,
@@ -143,10 +144,12 @@ def _jaccard(rows, k, num, den):
     return sorted(((i, len(x), name[r]) for (i, _), x, r in zip(rows, s, root, strict=True)), key=repr)
 
 
-@pytest.mark.parametrize(("k", "num", "largest"), [(4, 85, None), (5, 80, None), (2, 60, None), (4, 85, 300)])
+@pytest.mark.parametrize(("k", "num", "largest"), [(4, 85, None), (5, 80, None), (2, 60, None), (4, 85, 300), (2, 60, 400)])
 def test_jaccard(docs, rows, none, monkeypatch, k, num, largest):
+    """With a small ``largest``, components are verified in blocks, and all joins are shuffles."""
     if largest:
         monkeypatch.setattr(ngram_join, "LARGEST", largest)
+        monkeypatch.setattr(staging, "BROADCAST", -1)
     assert got(ngram_join.jaccard_components(docs, k, num, 100), "doc_id", "n_shingles", "component_id") == _jaccard(rows, k, num, 100)
     if largest is None:
         assert ngram_join.jaccard_components(none, k, num, 100).count() == 0

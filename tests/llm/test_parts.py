@@ -89,6 +89,32 @@ def test_thresholds_are_exact():
                 assert t.shared(m, n) == least
                 assert least in t.subset_sizes(m, 40)
                 assert least in t.subset_sizes(n, 40)
+                assert len(t.partners(n)) and t.prefix(n) > n - least
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (60, 100)])
+def test_linked_sets_share_a_list(num, den):
+    """Any pair at the threshold meets in a list, with one spelling of the signatures for every size."""
+    t, r = ngram_join.Threshold(num, den), np.random.default_rng(4)
+    for n in [*range(1, 60), 100, 257, 1000, 4000]:
+        for m in {t.partners(n)[0], n, t.partners(n)[-1]}:
+            c = t.shared(m, n)
+            if c > min(m, n):
+                continue
+            x = r.integers(0, 1 << 64, m + n - c, np.uint64)
+            pair = [np.unique(x[:n]), np.unique(x[n - c :])]
+            names, who = ngram_join.signatures(pair, t)
+            assert set(names[who == 0].tolist()) & set(names[who == 1].tolist()), (m, n)
+
+
+def test_boundary_follows_the_lists():
+    t = ngram_join.Threshold(85, 100)
+    most = t.most()
+    assert 10 < most < 20
+    counts = dict.fromkeys(range(1, most + 1), 1000)
+    assert ngram_join.boundary(counts, {n: 8000 for n in counts}, t) < most
+    assert ngram_join.boundary(counts, {n: 800_000 for n in counts}, t) == most
+    assert ngram_join.boundary(counts, {}, t) == 0
 
 
 def test_members_equal_brute_force():
