@@ -10,12 +10,14 @@ aggregation, so a payload that a third of the pages share is one row there.
 
 Null payloads count as empty. A null page id is written as ``null`` and comes back as null; it is never
 the smallest id while another exists. Rows that repeat the smallest id and its payload are responses
-too. Null urls leave out the target URI. Empty tables give no files. Only id, url and html are read.
+too. Null urls leave out the target URI. Pages of any length are one record, held by one task. Empty tables give
+no files. Only id, url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from urllib.parse import quote, unquote
 
@@ -24,35 +26,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeReader, new_path, partitions, slices, stage, write_file
+from .common import RangeReader, bounded, new_path, partitions, slices, stage, write_file
 
 LEAST = 100
 FILE_BYTES = 64 << 20
 #: Ranges at most GAP bytes apart are read as one, up to RANGE bytes.
 GAP, RANGE = 64 << 10, 8 << 20
+_PLAIN = re.compile("[!-~]+")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())])
 INDEX_DDL = "page_id long, url string, path string, offset long, length long, digest string"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def _urn(page_id: int | None, place: str = "") -> str:
+    """The name of a page; with a place in the archives, of one record, as page ids may repeat."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}{place and ':' + place}>"
 
 
 def _page(urn: str) -> int | None:
-    name = urn.strip("<>").rpartition(":")[2]
+    name = urn.strip("<>").split(":")[2]
     return None if name == "null" else int(name)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool) -> bytes:
+def _target(url: str | None) -> list[tuple[str, str]]:
+    """A URL as it is, or, if a header can't hold it (white space, controls, other than ASCII), escaped and marked so."""
+    if url is None:
+        return []
+    if _PLAIN.fullmatch(url):
+        return [("WARC-Target-URI", url)]
+    return [("WARC-Target-URI", quote(url, safe="/:?#[]@!$&'()*+,;=~")), ("X-Target-Escaped", "percent")]
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, place: str = "") -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", _urn(page_id)),
+        ("WARC-Record-ID", _urn(page_id, place)),
         ("WARC-Date", DATE),
-        *([("WARC-Target-URI", quote(url, safe="%/:?#[]@!$&'()*+,;=~"))] if url is not None else []),
+        *_target(url),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         *([("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(first))] if revisit else []),
         ("Content-Type", "application/http; msgtype=response"),
@@ -87,7 +100,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
             for piece in slices(batch, "html"):
                 for x in piece.to_pylist():
                     revisit = x["first"] is not None and x["first"] != x["page_id"]
-                    raw = record(x["page_id"], x["url"], x["html"].encode(), x["digest"], x["first"], revisit)
+                    raw = record(x["page_id"], x["url"], x["html"].encode(), x["digest"], x["first"], revisit, f"{task}.{part}.{size}")
                     rows.append({"page_id": x["page_id"], "url": x["url"], "offset": size, "length": len(raw), "digest": x["digest"]})
                     held.append(raw)
                     size += len(raw)
@@ -98,8 +111,11 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
             yield flush()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    first = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    return stage(rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(write, INDEX_DDL), "warc-index")
+    first = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # Staged apart, so that the pages of a frequent payload are a skewed partition that can be split. Short pages are dealt by their id.
+    first = bounded(stage(first.where("n > 1").select(F.col("digest").alias("meet"), "first"), "warc-first"))
+    meet = F.when(F.octet_length("html") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    return stage(rows.withColumn("meet", meet).join(first, "meet", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(write, INDEX_DDL), "warc-index")
 
 
 def read_warc(index: DataFrame) -> DataFrame:
@@ -133,7 +149,7 @@ def read_warc(index: DataFrame) -> DataFrame:
                 if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{path}: the payload at {begin + at} is damaged")
                 url, refers = head.get("WARC-Target-URI"), head.get("WARC-Refers-To")
-                out.append((_page(head["WARC-Record-ID"]), None if url is None else unquote(url), head["WARC-Type"], int(http["Content-Length"]), digest, None if refers is None else _page(refers), payload))
+                out.append((_page(head["WARC-Record-ID"]), unquote(url) if "X-Target-Escaped" in head else url, head["WARC-Type"], int(http["Content-Length"]), digest, None if refers is None else _page(refers), payload))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     placed = index.repartitionByRange(partitions(index.sparkSession), "path", "offset").sortWithinPartitions("path", "offset")
