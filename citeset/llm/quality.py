@@ -3,12 +3,12 @@
 A word gives its lower-case core, a mark for upper case and one for each run of punctuation around it.
 Features are the hashes of these tokens and of pairs of neighbours; a pair of equal tokens has one hash
 for all tokens, as repetition matters more than what is repeated. A value is the share of the text's
-tokens times ``SCALE``. Training runs over a bounded sample of labelled rows (``rows`` of each label) whose sparse
-vectors, not texts, come to the driver. A score is one sparse dot product, computed while the text is read.
+tokens times ``SCALE``. Training runs over a bounded sample of labelled rows (``rows`` of each label, of at most
+``samples.LONGEST`` characters) whose sparse vectors, not texts, come to the driver. A score is one sparse dot product, computed while the text is read.
 
 Null and empty texts have no features and get the score of the bias. With no labelled rows, every score
 is 0.5. Repeated rows get equal scores; null ids are scored and never learnt from. Empty tables give an
-empty result. Only id and text are inputs of a score; other columns are ignored.
+empty result. Texts of any length are scored as a whole. Only id and text are inputs of a score; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,8 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", row
     return train([(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), y) for i, v, y in got])
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> DataFrame:
-    """Add ``score`` to rows with a ``text``; the text is dropped unless it is to be kept."""
+def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False, name: str = "score") -> DataFrame:
+    """Add the score to rows with a ``text`` as a column that they don't have yet; the text is dropped unless it is to be kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a vector of fixed size
 
     def run(batches):
@@ -109,10 +109,10 @@ def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> Data
                 total = np.concatenate([[0.0], np.cumsum(w[flat], dtype=np.float64)])
                 logit = w[-1] + (total[at[1:]] - total[at[:-1]]) * SCALE / np.maximum(np.diff(at), 1)
                 values = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(values)], names=[*[f.name for f in kept], "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(values)], names=[*[f.name for f in kept], name])
 
     kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double"])
+    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{name}` double"])
     return docs.mapInArrow(run, ddl)
 
 

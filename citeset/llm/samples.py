@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import Memory
 
+#: Characters of the longest text that a classifier learns from; longer ones are scored as a whole.
+LONGEST = 50_000
 _EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
@@ -20,16 +22,21 @@ def fold(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int, columns: tuple[str, ...] = ()) -> DataFrame:
-    """At most ``rows`` documents of each label, 0 and 1 (those with the smallest hash of the id), where ``allowed`` holds.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int, columns: tuple[str, ...] = (), longest: int = LONGEST) -> DataFrame:
+    """At most ``rows`` different documents of each label, 0 and 1, of at most ``longest`` characters, where ``allowed`` holds.
 
-    Rows without a label are left out; of several labels of a document the largest counts.
+    Those with the smallest hash of the id come first; repeated ids and repeated rows count towards the bound. Rows without a label are left out;
+    of several labels of a document the largest counts.
     """
     known = labels.where(allowed & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
-    no, yes = (known.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for x in (0, 1))
-    chosen = no.unionAll(yes)  # at most 2 * rows ids
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *columns).join(F.broadcast(chosen), "doc_id")
+    no, yes = (known.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows) for x in (0, 1))
+    chosen = F.broadcast(no.unionAll(yes))  # at most 4 * rows ids
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *columns).where(F.length("text") <= longest)
+    found = texts.join(chosen, "doc_id")
+    order = (F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), *columns)
+    no, yes = (found.where(F.col("label") == x).orderBy(*order).limit(rows) for x in (0, 1))
+    return no.unionAll(yes)
 
 
 def parts(word: str) -> tuple[str, str, str]:
