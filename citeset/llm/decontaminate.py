@@ -4,20 +4,23 @@ An item's windows (``size`` consecutive words; the whole item if it has fewer) m
 the necessary prefix of a window is one token: its rarest shingle of ``SHINGLE`` words. Steps:
 
 1. Distinct windows of the benchmark, and their distinct shingles.
-2. One pass over the documents finds every occurrence ``(document, position)`` of a benchmark shingle.
-   These occurrences give each shingle's exact frequency over all documents, the rarity order.
+2. One pass over the documents counts their words and finds every occurrence ``(document, position)`` of a
+   benchmark shingle. These occurrences give each shingle's exact frequency over all documents, the rarity order.
 3. Each window is joined to the occurrences of its rarest shingle only. A shingle that occurs nowhere
    settles its windows. The position of the shingle in the window fixes where the window must lie
    (positional bound), and the document must have room for it (length bound).
-4. Candidates are verified exactly: the document's words from there on must equal the window's words.
+4. Candidates are verified exactly: the SHA-256 of the document's words from there on must be that of the
+   window's words, which names the window.
 
-Texts without candidates never move (see FEW_KEYS). A frequent shingle costs rows
-in proportion to its occurrences, since a window has one prefix and equal windows are one.
+Only texts with candidates move. Tables of the benchmark's size are broadcast if they were counted to be small and
+joined by a shuffle otherwise; they are staged first, so that a frequent shingle is a skewed partition that
+can be split. It costs rows in proportion to its occurrences, since a window has one prefix and equal windows are one.
 
 Null and empty texts have no words and are never hit; null or wordless items have no windows. Rows with
 the same id and text get the same result, each its own row; rows with the same id but other texts are
-kept apart by the text's hash. A null id is a value like any other. Equal items are all reported. An
-empty benchmark or document table gives zero hits or an empty result. Other columns are ignored.
+kept apart by the text's hash. A null id is a value like any other. Equal items are all reported. A text may have any
+length: its words are one row of one task. An empty benchmark or document table gives zero hits or an
+empty result. Only ids and texts are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,10 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded, partitions, stage
 
 SIZE, SHINGLE = 13, 4
-FEW_KEYS = 500_000
 #: Words and the letters that are lowered (fixed by the contract).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,53 +48,61 @@ def _shingle(w: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(w, at + k) for k in range(n)])
 
 
+def _name(w: Column) -> Column:
+    """The name of a window: the hash of its words, which hold no spaces."""
+    return F.sha2(F.array_join(w, " "), 256)
+
+
 def windows(benchmark: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Distinct windows ``(window, words, n)``, and which items have them ``(item, window)``."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("words"))
-    cut = cut.withColumn("window", F.sha2(F.array_join("words", " "), 256)).distinct()
+    cut = cut.withColumn("window", _name(F.col("words"))).distinct()
     return cut.groupBy("window").agg(F.first("words").alias("words"), F.first(F.size("words")).alias("n")), cut.select("item", "window").distinct()
 
 
+def _same(a: str, b: str) -> Column:
+    """Rows of two tables with the same id and text; null ids match."""
+    return (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words per document row ``(doc_id, hash, n_words)``, verified window places ``(doc_id, hash, window, at, n)`` and ``(item, window)``."""
     wins, owners = (stage(x, "benchmark-windows") for x in windows(benchmark, size))
-    lengths = sorted({min(x["n"], SHINGLE) for x in wins.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect()})  # at most SHINGLE values
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), words(F.col(text_col)).alias("w"))
-    rows = texts.select("doc_id", "hash", F.size("w").alias("n_words"))
-    if not lengths:
-        none = texts.select("doc_id", "hash", F.lit("").alias("window"), F.lit(0).alias("at"), F.lit(0).alias("n")).where(F.lit(False))
-        return rows, none, owners
+    lengths = sorted({x["n"] for x in wins.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect()})  # at most SHINGLE values
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
+    texts = whole.select("doc_id", "hash", words(F.col("text")).alias("w"))
+    kind = "array<struct<k:int,spot:int,shingle:bigint>>"
 
     def spots(n: int) -> Column:
         last = F.size("w") - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.lit(n).alias("k"), i.alias("spot"), _shingle(F.col("w"), i, n).alias("shingle"))))
-
-    def shingles(df: DataFrame, keep: list[str]) -> DataFrame:
-        many = [F.coalesce(spots(n), F.array().cast("array<struct<k:int,spot:int,shingle:bigint>>")) for n in lengths]
-        return df.select(*keep, F.explode(F.concat(*many) if len(many) > 1 else many[0]).alias("s")).select(*keep, "s.k", "s.spot", "s.shingle")
-
-    own = shingles(wins.withColumn("w", F.col("words")), ["window", "n"]).where(F.col("k") == F.least("n", F.lit(SHINGLE)))
-    wanted = own.select("k", "shingle").distinct()
-    found = stage(shingles(texts.withColumn("n_words", F.size("w")), ["doc_id", "hash", "n_words"]).join(wanted, ["k", "shingle"], "left_semi"), "shingle-places")
-    rarity = found.groupBy("k", "shingle").agg(F.count("*").alias("seen"))
+        found = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.lit(n).alias("k"), i.alias("spot"), _shingle(F.col("w"), i, n).alias("shingle")))
+        return F.when(last >= 0, found).otherwise(F.array().cast(kind))
+
+    own = wins.select("window", "n", F.col("words").alias("w"), F.least("n", F.lit(SHINGLE)).alias("own"))
+    own = own.select("window", "n", "own", F.explode(F.concat(F.array().cast(kind), *map(spots, lengths))).alias("s")).where("s.k = own").select("window", "n", "s.k", "s.spot", "s.shingle")
+    own = stage(own, "window-shingles")
+    # The row (0, 0) stands for every document: its spot is the number of words.
+    none = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("shingle"))
+    wanted = stage(own.select("k", "shingle").distinct().unionByName(docs.sparkSession.range(1).select(none.alias("x")).select("x.*")), "wanted-shingles")
+    every = F.array(F.struct(F.lit(0).alias("k"), F.size("w").alias("spot"), F.lit(0).cast("long").alias("shingle")))
+    exploded = texts.select("doc_id", "hash", F.size("w").alias("n_words"), F.explode(F.concat(every, *map(spots, lengths))).alias("s"))
+    seen = stage(exploded.select("doc_id", "hash", "n_words", "s.k", "s.spot", "s.shingle").join(bounded(wanted), ["k", "shingle"], "left_semi"), "shingle-places")
+    rows, found = seen.where("k = 0").select("doc_id", "hash", "n_words"), seen.where("k > 0")
+    rarity = stage(found.groupBy("k", "shingle").agg(F.count("*").alias("seen")), "shingle-counts")
     ranked = own.join(rarity, ["k", "shingle"], "left").groupBy("window").agg(
         F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "spot", "k", "n")).alias("rare")
     )
     prefix = ranked.where(F.col("rare.seen") > 0).select("window", "rare.k", "rare.shingle", F.col("rare.spot").alias("lead"), "rare.n")
-    places = found.join(prefix, ["k", "shingle"]).withColumn("at", F.col("spot") - F.col("lead"))
-    candidates = places.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("n_words"))).select("doc_id", "hash", "window", "at", "n").distinct()
-    per_doc = candidates.join(wins.select("window", "words"), "window").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("window", "at", "n", "words")).alias("c"))
-    per_doc = stage(per_doc, "window-candidates")
-    # Only texts with candidates move: their keys are broadcast up to FEW_KEYS rows, and joined by a shuffle beyond.
-    names = per_doc.select("doc_id", "hash")
-    names = F.broadcast(names) if per_doc.count() <= FEW_KEYS else names
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
-    some = whole.alias("w").join(names.alias("k"), (F.col("w.hash") == F.col("k.hash")) & F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").dropDuplicates(["doc_id", "hash"])
-    same = (F.col("t.hash") == F.col("c.hash")) & F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))
-    read = some.alias("t").join(per_doc.alias("c"), same).select("t.doc_id", "t.hash", words(F.col("t.text")).alias("w"), "c.c")
-    true = read.select("doc_id", "hash", F.filter("c", lambda x: F.slice("w", x["at"] + 1, x["n"]) == x["words"]).alias("c"))
+    places = found.join(bounded(stage(prefix, "window-prefixes")), ["k", "shingle"]).withColumn("at", F.col("spot") - F.col("lead"))
+    candidates = places.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("n_words"))).select("doc_id", "hash", F.struct("window", "at", "n").alias("c"))
+    # At most one candidate a word and window with that prefix: the array is in proportion to the text.
+    per_doc = stage(candidates.groupBy("doc_id", "hash").agg(F.collect_set("c").alias("c")), "window-candidates")
+    # As many partitions as usual whatever the bytes, since the work is in words; one of equal texts is read.
+    some = whole.alias("w").join(bounded(per_doc.select("doc_id", "hash")).alias("k"), _same("w", "k"), "left_semi").repartition(partitions(docs.sparkSession), "doc_id", "hash").dropDuplicates(["doc_id", "hash"])
+    read = some.alias("t").join(per_doc.alias("c"), _same("t", "c")).select("t.doc_id", "t.hash", words(F.col("t.text")).alias("w"), "c.c")
+    true = read.select("doc_id", "hash", F.filter("c", lambda x: _name(F.slice("w", x["at"] + 1, x["n"])) == x["window"]).alias("c"))
     verified = true.select("doc_id", "hash", F.explode("c").alias("c")).select("doc_id", "hash", "c.window", "c.at", "c.n")
     return rows, stage(verified, "window-places"), owners
 
@@ -107,9 +117,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share
     hit = spots.groupBy("doc_id", "hash").agg(F.count("*").alias("n_hit"))
     items = places.select("doc_id", "hash", "window").distinct().join(owners, "window").select("doc_id", "hash", "item").distinct()
     named = items.groupBy("doc_id", "hash").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
-    keys = lambda a, b: (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-    both = hit.alias("h").join(named.alias("i"), keys("h", "i")).select("h.*", "n_items", "items")
-    out = rows.alias("r").join(both.alias("b"), keys("r", "b"), "left")
+    both = stage(hit.alias("h").join(named.alias("i"), _same("h", "i")).select("h.*", "n_items", "items"), "window-hits")
+    out = rows.alias("r").join(bounded(both).alias("b"), _same("r", "b"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "r.doc_id",
