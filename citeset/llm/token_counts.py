@@ -6,9 +6,13 @@ of each missing digest is encoded; its count is appended to the cache. Normalisa
 form with null as empty, since the tokenizer's count depends on every byte.
 
 Null texts count as empty (0 bytes, 0 tokens). Null or repeated ids and repeated rows each keep their
-row. Empty tables give an empty result. Only the id and text columns are read. A digest that a third
-of the rows share is one row after the partial aggregation, and the joins that bring its count back are
-left to skew handling.
+row. A text may have any length: it is encoded as a whole by one task. Empty tables give an empty result. Only the
+id and text columns are read, so other columns may have any names. A digest that a third of the rows share is
+one row after the partial aggregation; the other sides of joins are staged first, so that its rows are a skewed
+partition that adaptive execution can split.
+
+The cache has a folder for each tokenizer's digest. A run that is repeated may append a digest twice; equal
+digests have equal counts, and readers take one.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import bounded, slices, stage
 from .tokens import CHARACTERS, encoder
 
-CACHE = "text_digest binary, tokenizer_digest string, n_tokens long"
+CACHE = "text_digest binary, n_tokens long, tokenizer_digest string"
 
 
 def tokenizer_digest(path: str) -> str:
@@ -51,20 +55,20 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, cache: DataFrame |
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_digest", F.unhex(F.sha2("text", 256)))
     keys = stage(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text_digest"), "count-keys")
-    # The first row of each digest stands for it: one (digest, id) per distinct text.
+    # One row of each digest stands for it: one (digest, id) per distinct text.
     first = keys.groupBy("text_digest").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
+    stored = None
     if cache is not None:
-        stored = cache.where(F.col("tokenizer_digest") == version).groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
+        stored = stage(cache.where(F.col("tokenizer_digest") == version).groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "count-stored")
         first = first.join(stored, "text_digest", "left_anti")
-    else:
-        stored = None
+    first = bounded(stage(first, "count-misses"))
     ask = rows.alias("r").join(first.alias("f"), (F.col("r.text_digest") == F.col("f.text_digest")) & F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    fresh = stage(ask.select("text_digest", "text").mapInArrow(_count(tokenizer), "text_digest binary, n_tokens long"), "count-fresh")
-    fresh = fresh.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    # Appended rows may be seen by a later read of the cache, so a digest can be in both.
-    known = fresh if stored is None else fresh.unionByName(stored).groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    fresh = ask.select("text_digest", "text").mapInArrow(_count(tokenizer), "text_digest binary, n_tokens long")
+    # Rows that repeat both id and text are encoded once each.
+    fresh = stage(stage(fresh, "count-encoded").groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "count-fresh")
+    known = fresh if stored is None else stage(fresh.unionByName(stored), "count-known")
     counts = keys.join(known, "text_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("text_digest").alias("text_digest"))
-    return counts, fresh.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
+    return counts, fresh.select("text_digest", "n_tokens", F.lit(version).alias("tokenizer_digest"))
 
 
 def stored_counts(spark: SparkSession, cache_path: str) -> DataFrame:
@@ -75,4 +79,4 @@ def stored_counts(spark: SparkSession, cache_path: str) -> DataFrame:
 
 
 def append(cache_path: str, rows: DataFrame) -> None:
-    rows.write.mode("append").parquet(cache_path)
+    rows.write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
