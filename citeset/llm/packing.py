@@ -12,7 +12,8 @@ empty, say) is therefore never gathered. The plan is shared with the tasks as ar
 ``size`` patterns times their slots.
 
 Null texts count as empty and hold the end id alone. Repeated rows are packed as often as they occur,
-and null ids are kept. An empty table gives an empty result. Only id and text columns are read.
+and null ids are kept. A text of any length is encoded by one task and cut into pieces. An empty table gives an
+empty result. Only id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -56,43 +57,58 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "
 
 
 class _Sums:
-    """Which lengths, alone, in pairs or in threes, fill a gap exactly."""
+    """Indexes of the lengths, and of their sums in pairs and in threes, that fill a gap exactly.
+
+    The pairs of lengths that exist are listed by sum, the one with the longer part first; a sum of three is
+    a length and a pair of the rest. Availability never grows, so each sum has a mark that only moves on: before it,
+    nothing is left to use. A lookup costs what the marks move, and all lookups together what the indexes hold.
+    """
 
     def __init__(self, left: np.ndarray):
         self.left = left
-        self._pair: dict[int, int] = {}
-
-    def _enough(self, *lengths: int) -> bool:
-        return all(self.left[x] >= lengths.count(x) for x in lengths)
-
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        if gap < 2:
-            return None
-        a = self._pair.get(gap)
-        if a is not None and self._enough(a, gap - a):
-            return a, gap - a
-        big = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
-        both = np.flatnonzero((self.left[big] > 0) & (self.left[gap - big] > 0) & ((big != gap - big) | (self.left[big] > 1)))
-        if not len(both):
-            self._pair.pop(gap, None)
-            return None
-        self._pair[gap] = a = int(big[both[0]])
-        return a, gap - a
+        some = np.flatnonzero(left > 0).astype(np.int32)
+        self._lengths = some[::-1].tolist()
+        size = len(left) - 1
+        sums, longer = [], []
+        for i, a in enumerate(some):
+            b = some[: i + 1][: np.searchsorted(some[: i + 1], size - a, "right")]  # at most size * size / 4 pairs
+            sums.append((a + b).astype(np.int16 if size < 1 << 15 else np.int32))
+            longer.append(np.full(len(b), a, sums[-1].dtype))
+        sums, longer = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (sums, longer))
+        order = np.argsort(sums, kind="stable")
+        self._longer = longer[order]
+        edge = np.searchsorted(sums[order], np.arange(size + 2))
+        self._first, self._last = edge[:-1].tolist(), edge[1:].tolist()  # the longest is last
+        self._pair, self._triple = list(self._last), [0] * (size + 1)
+
+    def pair(self, gap: int, used: int = 0) -> tuple[int, int] | None:
+        """Two lengths that are left when one of length ``used`` is taken besides."""
+        left, longer = self.left, self._longer
+        at, marked = self._pair[gap], True
+        while at > self._first[gap]:
+            a = int(longer[at - 1])
+            b = gap - a
+            if left[a] > (a == b) and left[b] > 0:
+                if left[a] > (a == b) + (a == used) and left[b] > (b == used) + (a == b and a == used):
+                    return a, b
+                marked = False  # only the length in use is in the way
+            at -= 1
+            if marked:
+                self._pair[gap] = at
+        return None
 
     def fill(self, gap: int) -> tuple[int, ...] | None:
         if self.left[gap] > 0:
             return (gap,)
         if two := self.pair(gap):
             return two
-        for a in np.flatnonzero(self.left[: gap - 1] > 0)[::-1]:
-            a = int(a)
-            if 3 * a < gap:
-                break
-            self.left[a] -= 1
-            two = self.pair(gap - a)
-            self.left[a] += 1
-            if two and self._enough(a, *two):
+        at = self._triple[gap]
+        while at < len(self._lengths) and 3 * self._lengths[at] >= gap:
+            a = self._lengths[at]
+            if a < gap and self.left[a] > 0 and (two := self.pair(gap - a, a)):
                 return a, *two
+            at += 1
+            self._triple[gap] = at
         return None
 
 

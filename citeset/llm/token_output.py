@@ -5,8 +5,8 @@ all documents in ascending order. A task starts a new file every ``FILE_TOKENS``
 doesn't grow with its share of the input. Only a manifest of one row per file is summed in order.
 
 Null texts count as empty: they hold the end id alone. Rows with a null id come first; repeated ids
-stay separate documents, in order of their texts' hash. An empty table gives no files. Only the id and
-text columns are read, so other columns may have any names.
+stay separate documents, in order of their texts' hash. A text of any length is encoded by one task and lies in one
+file. An empty table gives no files. Only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
