@@ -9,21 +9,29 @@ group of an anchor's hash. Anchors are a few hundredths of all positions.
    bytes to either side. Equal contexts are merged, with a count, before they meet.
 3. Per group, the contexts to the right and the reversed ones to the left are suffix-sorted (deep-shallow,
    see ``suffixes``). For each share of a string to the right of its anchor, the common prefixes of both
-   orders give the classes of equal strings; a class of two or more is a repeat. A group with over
-   ``LARGEST`` different contexts takes another exact way: its strings are counted by an aggregation.
+   orders give the classes of equal strings; a class of two or more is a repeat.
 4. The covered stretches are brought back to the documents, merged and cut out.
 
+A group of over ``LARGEST`` different contexts is split by the next bytes and its parts are sorted. A group stands for the
+strings that have between ``low`` and ``high`` bytes to the right, 0 to ``length - K`` at first: they share
+``low`` bytes to the right and all but ``high`` of the rest to the left. Its halves are dealt by the further bytes that
+each shares, and so on, until a part is small or stands for one share: then all its contexts hold one string.
+
 Documents with equal texts are one class throughout: a class of several rows of at least ``length`` bytes
-is removed whole, and takes part once in the search.
+is removed whole, and takes part once in the search. Texts are equal by the first 128 bits of their SHA-256;
+anchors by two hashes of 64 bits, their contexts by a third.
 
 Null and empty texts have 0 bytes and no spans, as any text shorter than ``length``. Null and repeated ids
 each keep their row; repeated rows are copies and lose everything if long enough. An empty table gives an
-empty result. Only id and text are read. Long texts are hashed in overlapping blocks.
+empty result. Only id and text are read, so other columns may have any names. A text may have any length: it is held by
+one task and hashed in overlapping blocks. What joins a frequent key is staged first, so that adaptive execution
+can split its rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, slices, stage
+from .common import bounded, discard, partitions, slices, stage
 from .suffixes import deep_shallow
 
 LENGTH, K = 200, 64
@@ -39,8 +47,9 @@ BLOCK = 1 << 20
 LARGEST = 50_000
 #: Contexts sorted at once, in whole groups.
 BATCH = 60_000
-#: Keys up to this many rows are broadcast to filter texts before the shuffle; beyond, all texts move.
-FEW_KEYS = 500_000
+
+#: What names a context (two hashes of its anchor, one of the rest), and a group of contexts.
+NAME, GROUP = ("hash", "anchor", "digest"), ("hash", "anchor", "part")
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[bool, np.ndarray] = {}
@@ -101,42 +110,46 @@ def _find(length: int):
             for part in slices(batch, "text"):
                 found = [anchors((x or "").encode(), length) for x in part.column("text").to_pylist()]
                 n = np.array([len(p) for p, _ in found])
-                keys = [np.repeat(part.column(c).to_numpy(), n) for c in ("key", "n_bytes")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in found]).view(np.int64)), *map(pa.array, keys), pa.array(np.concatenate([p for p, _ in found]).astype(np.int64))], names=["hash", "key", "n_bytes", "pos"])
+                keys = part.column("key").take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in found]).view(np.int64)), keys, pa.array(np.concatenate([p for p, _ in found]).astype(np.int64))], names=["hash", "key", "pos"])
 
     return run
 
 
 def _contexts(length: int, content: bool):
-    """Per anchor: hash, digest of its context, and either the context or the anchor's place."""
+    """Per anchor: its two hashes, digest of its context, and either the context or the anchor's place."""
     reach = length - K
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, merged = [], {}
-                for key, n, text, found in zip(*(part.column(c).to_pylist() for c in ("key", "n_bytes", "text", "found")), strict=True):
+                for key, text, found in zip(*(part.column(c).to_pylist() for c in ("key", "text", "found")), strict=True):
                     raw = text.encode()
                     for x in found:
                         h, p = x["hash"], x["pos"]
                         left, right = raw[max(0, p - reach) : p], raw[p + K : p + length]
                         digest = xxhash.xxh3_64_intdigest(left + bytes([len(left)]) + right) - (1 << 63)
+                        name = h, xxhash.xxh3_64_intdigest(raw[p : p + K]) - (1 << 63), digest
                         if not content:
-                            rows.append((h, digest, key, n, p))
-                        elif (old := merged.get((h, digest))) is None:
-                            merged[h, digest] = [1, left, right]
+                            rows.append((*name, key, p))
+                        elif (old := merged.get(name)) is None:
+                            merged[name] = [1, left, right]
                         else:
                             old[0] += 1
                 rows += [(*k, *v) for k, v in merged.items()]
                 if rows:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] if content else [pa.int64()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["hash", "digest", "n", "left", "right"] if content else ["hash", "digest", "key", "n_bytes", "pos"])
+                    types = [pa.int64()] * 3 + ([pa.int64(), pa.binary(), pa.binary()] if content else [pa.binary(), pa.int64()])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*NAME, *(("n", "left", "right") if content else ("key", "pos"))])
 
     return run
 
 
-def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For different contexts in groups: how far strings that repeat reach to the left and right of the anchor's K bytes; -1: none."""
+def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], reach: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For different contexts in groups: how far strings that repeat reach to the left and right of the anchor's K bytes; -1: none.
+
+    A group looks for strings of ``low`` to ``high`` bytes to the right.
+    """
     n = len(left)
     where, common = [], []
     for side in ([x[::-1] for x in left], right):
@@ -155,37 +168,41 @@ def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], reach: int
         same = both[by][1:] == both[by][:-1]
         hit = np.zeros(n, bool)
         hit[by[1:][same]] = hit[by[:-1][same]] = True
+        if low is not None:
+            hit &= (low <= s) & (s <= high)
         far_left[hit] = np.maximum(far_left[hit], reach - s)
         far_right[hit] = s
     return far_left, far_right
 
 
 def _cover(length: int):
-    """Rows sorted by hash; gives per context that holds a repeat its reach: hash, digest, left, right."""
+    """Rows sorted by group; gives per context that holds a repeat its name and its reach to the left and right."""
     reach = length - K
 
     def emit(rows):
-        hashes = np.array([r[0] for r in rows])
-        group = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) if len(rows) else hashes
-        left, right, count = [r[3] for r in rows], [r[4] for r in rows], np.array([r[2] for r in rows])
+        groups = [r[:4] for r in rows]
+        group = np.cumsum([0, *(a != b for a, b in itertools.pairwise(groups))])
+        left, right, count = [r[6] for r in rows], [r[7] for r in rows], np.array([r[5] for r in rows])
+        low, high = (np.array([r[i] for r in rows]) for i in (8, 9))
         size = np.bincount(group)
         far_left, far_right = np.full(len(rows), -1), np.full(len(rows), -1)
         some = np.flatnonzero(size[group] > 1)
         if len(some):
-            far_left[some], far_right[some] = repeats(np.unique(group[some], return_inverse=True)[1], [left[i] for i in some], [right[i] for i in some], reach)
+            far_left[some], far_right[some] = repeats(np.unique(group[some], return_inverse=True)[1], [left[i] for i in some], [right[i] for i in some], reach, low[some], high[some])
         whole = count > 1
         far_left[whole] = [len(left[i]) for i in np.flatnonzero(whole)]
         far_right[whole] = [len(right[i]) for i in np.flatnonzero(whole)]
         keep = np.flatnonzero(far_left >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array([rows[i][1] for i in keep], pa.int64()), pa.array(far_left[keep]), pa.array(far_right[keep])], names=["hash", "digest", "l", "r"])
+        names = [pa.array([rows[i][j] for i in keep], pa.int64()) for j in (0, 1, 4)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(far_left[keep]), pa.array(far_right[keep])], names=[*NAME, "l", "r"])
 
     def run(batches):
         rows = []
         for batch in batches:
-            rows += zip(*(batch.column(c).to_pylist() for c in ("hash", "digest", "n", "left", "right")), strict=True)
+            rows += zip(*(batch.column(c).to_pylist() for c in (*GROUP, "low", "digest", "n", "left", "right", "low", "high")), strict=True)
             if len(rows) > BATCH:
                 cut = len(rows)  # the last group may go on
-                while cut and rows[cut - 1][0] == rows[-1][0]:
+                while cut and rows[cut - 1][:4] == rows[-1][:4]:
                     cut -= 1
                 if cut:
                     yield emit(rows[:cut])
@@ -196,17 +213,26 @@ def _cover(length: int):
     return run
 
 
-def _cover_large(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for very large groups: every string around the anchor is a row, counted by an aggregation."""
-    reach = length - K
-    lead = F.octet_length("left")
-    s = F.explode(F.sequence(F.greatest(F.lit(reach) - lead, F.lit(0)), F.least(F.octet_length("right"), F.lit(reach)))).alias("s")
-    rows = contexts.select("hash", "digest", "n", "left", "right", s)
-    content = F.concat(F.substring(F.col("left"), lead - (F.lit(reach) - F.col("s")) + 1, F.lit(reach) - F.col("s")), F.substring(F.col("right"), F.lit(1), F.col("s")))
-    rows = rows.select("hash", "digest", "n", "s", F.sha2(content, 256).alias("string"))
-    seen = rows.groupBy("hash", "s", "string").agg(F.sum("n").alias("n")).where("n > 1").select("hash", "s", "string")
-    hit = rows.join(seen, ["hash", "s", "string"], "left_semi")
-    return hit.groupBy("hash", "digest").agg((F.lit(reach) - F.min("s")).cast("long").alias("l"), F.max("s").cast("long").alias("r"))
+def split_groups(contexts: DataFrame, reach: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(parts, alike)``: contexts in groups of at most ``LARGEST``, and those of larger groups whose contexts all hold one string."""
+    names, small, alike = list(GROUP), None, None
+    todo = contexts.withColumns({"part": F.lit(""), "low": F.lit(0), "high": F.lit(reach)})
+    while True:
+        large = stage(todo.groupBy(*names).agg(F.count("*").alias("m")).where(F.col("m") > LARGEST).select(*names), "large-groups")
+        if large.isEmpty():
+            return (todo if small is None else small.unionByName(todo)), alike
+        large = bounded(large)
+        rest = todo.join(large, names, "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        big = todo.join(large, names, "left_semi")
+        one = big.where("low = high")
+        alike = one if alike is None else alike.unionByName(one)
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = [big.where("low < high").withColumns({"low": a, "high": b}) for a, b in ((F.col("low"), middle), (middle + 1, F.col("high")))]
+        behind = F.lit(reach) - F.col("high")
+        held = halves[0].unionByName(halves[1]).where((F.octet_length("right") >= F.col("low")) & (F.octet_length("left") >= behind))
+        shared = F.concat(F.encode(F.concat_ws(":", "low", "high", F.lit("")), "UTF-8"), F.substring(F.col("right"), F.lit(1), F.col("low")), F.substring(F.col("left"), F.octet_length("left") - behind + 1, behind))
+        todo = stage(held.withColumn("part", F.sha2(shared, 256)), "group-parts")
 
 
 def _cut(batches):
@@ -214,7 +240,7 @@ def _cut(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             out = []
-            for key, n, text, spans in zip(*(part.column(c).to_pylist() for c in ("key", "n_bytes", "text", "spans")), strict=True):
+            for key, text, spans in zip(*(part.column(c).to_pylist() for c in ("key", "text", "spans")), strict=True):
                 raw, kept, end, count, removed = text.encode(), hashlib.sha256(), 0, 0, 0
                 for x in sorted((x["begin"], x["end"]) for x in spans):
                     if count == 0 or x[0] > end:
@@ -223,60 +249,55 @@ def _cut(batches):
                     elif x[1] > end:
                         removed, end = removed + x[1] - end, x[1]
                 kept.update(raw[end:])
-                out.append((key, n, removed, count, kept.hexdigest()))
+                out.append((key, removed, count, kept.hexdigest()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.binary(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["key", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, spans, texts)``: per row ``doc_id, key, n_bytes, sha``; per class of texts its covered stretches; one text per class with stretches."""
     if length - K > 255 or length <= K:
         raise ValueError(f"length must be {K + 1} to {K + 255}")
-    spark = docs.sparkSession
+    spark, reach = docs.sparkSession, length - K
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    rows = stage(texts.select("doc_id", "key", "n_bytes", F.sha2("text", 256).alias("sha")), "text-keys")
-    found = texts.where(F.col("n_bytes") >= length).select("key", "n_bytes", "text").mapInArrow(_find(length), "hash long, key long, n_bytes long, pos long")
+    texts = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    texts = texts.withColumn("key", F.substring(F.unhex("sha"), 1, 16))
+    rows = stage(texts.select("doc_id", "key", "n_bytes", "sha"), "text-keys")
+    found = texts.where(F.col("n_bytes") >= length).select("key", "text").mapInArrow(_find(length), "hash long, key binary, pos long")
     found = stage(found, "anchors")
-    counts = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    alive = found.join(counts, "hash", "left_semi").groupBy("key", "n_bytes").agg(F.collect_set(F.struct("hash", "pos")).alias("found"))
-    first = rows.groupBy("key", "n_bytes").agg(F.min("doc_id").alias("doc_id"))
-    alive = stage(alive.join(first, ["key", "n_bytes"]), "live-anchors")
+    counts = bounded(stage(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "anchor-counts"))
+    alive = found.join(counts, "hash", "left_semi").groupBy("key").agg(F.collect_set(F.struct("hash", "pos")).alias("found"))
+    first = rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    alive = stage(alive.join(first, "key"), "live-anchors")
     discard(found)
-    names = alive.select("key", "n_bytes", "doc_id")
-    names = F.broadcast(names) if alive.count() <= FEW_KEYS else names
+    names = bounded(alive.select("key", "doc_id"))
 
     def one_text(other: DataFrame) -> DataFrame:
         """A text of each class that has rows in ``other``."""
-        t = texts.alias("t").join(names.alias("a"), (F.col("t.key") == F.col("a.key")) & (F.col("t.n_bytes") == F.col("a.n_bytes")) & F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi")
-        return t.join(other, ["key", "n_bytes"])
+        t = texts.alias("t").join(names.alias("a"), (F.col("t.key") == F.col("a.key")) & F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi")
+        return t.join(other, "key")
 
     around = one_text(alive.drop("doc_id"))
-    contexts = around.mapInArrow(_contexts(length, True), "hash long, digest long, n long, left binary, right binary")
-    contexts = contexts.groupBy("hash", "digest").agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    contexts = stage(contexts, "contexts")
-    sizes = contexts.groupBy("hash").agg(F.count("*").alias("m"))
-    large = sizes.where(F.col("m") > LARGEST).select("hash")
-    ddl = "hash long, digest long, l long, r long"
-    if large.isEmpty():
-        cover = contexts.repartition(partitions(spark), "hash").sortWithinPartitions("hash").mapInArrow(_cover(length), ddl)
-    else:
-        usual = contexts.join(large, "hash", "left_anti").repartition(partitions(spark), "hash").sortWithinPartitions("hash").mapInArrow(_cover(length), ddl)
-        cover = usual.unionByName(_cover_large(contexts.join(large, "hash", "left_semi"), length))
-    cover = stage(cover, "cover")
-    places = around.mapInArrow(_contexts(length, False), "hash long, digest long, key long, n_bytes long, pos long")
-    spans = places.join(cover, ["hash", "digest"]).select("key", "n_bytes", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + K + F.col("r")).alias("end"))
-    spans = stage(spans.groupBy("key", "n_bytes").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
+    contexts = around.select("key", "text", "found").mapInArrow(_contexts(length, True), "hash long, anchor long, digest long, n long, left binary, right binary")
+    contexts = contexts.groupBy(*NAME).agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    parts, alike = split_groups(stage(contexts, "contexts"), reach)
+    cover = parts.repartition(partitions(spark), *GROUP).sortWithinPartitions(*GROUP).mapInArrow(_cover(length), "hash long, anchor long, digest long, l long, r long")
+    if alike is not None:
+        cover = cover.unionByName(alike.select(*NAME, (F.lit(reach) - F.col("low")).cast("long").alias("l"), F.col("low").cast("long").alias("r")))
+    cover = stage(cover.groupBy(*NAME).agg(F.max("l").alias("l"), F.max("r").alias("r")), "cover")
+    places = around.select("key", "text", "found").mapInArrow(_contexts(length, False), "hash long, anchor long, digest long, key binary, pos long")
+    spans = places.join(cover, list(NAME)).select("key", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + K + F.col("r")).alias("end"))
+    spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
     return rows, spans, one_text(spans)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` after removing every byte of a repeated string."""
     rows, _, texts = repeated_spans(docs, length, id_col, text_col)
-    cut = texts.mapInArrow(_cut, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    copies = rows.where(F.col("n_bytes") >= length).groupBy("key", "n_bytes").agg(F.count("*").alias("n")).where("n > 1")
-    cut = cut.dropDuplicates(["key", "n_bytes"]).withColumn("n", F.lit(1).cast("long"))
-    whole = copies.select("key", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), "n")
-    done = cut.unionByName(whole).groupBy("key", "n_bytes").agg(F.max_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n").alias("c"))
-    joined = rows.join(done, ["key", "n_bytes"], "left")
+    cut = texts.select("key", "text", "spans").mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    copies = rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_removed")).where("n > 1")
+    cut = cut.dropDuplicates(["key"]).withColumn("n", F.lit(1).cast("long"))
+    whole = copies.select("key", "n_removed", F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), "n")
+    done = cut.unionByName(whole).groupBy("key").agg(F.max_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n").alias("c"))
+    joined = rows.join(bounded(stage(done, "cut-texts")), "key", "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("c.n_removed", F.lit(0)).alias("n_removed"), F.coalesce("c.n_spans", F.lit(0)).alias("n_spans"), F.coalesce("c.kept_sha256", "sha").alias("kept_sha256"))
