@@ -45,7 +45,7 @@ from ..operators.graph import components
 from .common import bounded, partitions, slices, stage
 
 #: Shingles of a component that one task verifies.
-LARGEST = 1_000_000
+LARGEST = 2_000_000
 #: Buckets of signatures for each shuffle partition.
 BUCKETS = 4
 _A = np.uint64(0x9E3779B97F4A7C15)

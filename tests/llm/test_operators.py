@@ -119,11 +119,14 @@ def test_substrings(docs, rows, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
-def test_substrings_in_large_groups(docs, monkeypatch):
+@pytest.mark.parametrize(("length", "largest"), [(80, 1), (200, 3)])
+def test_substrings_in_large_groups(docs, monkeypatch, length, largest):
+    """Groups split down to one string, and all joins by shuffles."""
     names = ("doc_id", "n_removed", "n_spans", "kept_sha256")
-    want = got(substring_dedup.substring_dedup(docs, 80), *names)
-    monkeypatch.setattr(substring_dedup, "LARGEST", 1)
-    assert got(substring_dedup.substring_dedup(docs, 80), *names) == want
+    want = got(substring_dedup.substring_dedup(docs, length), *names)
+    monkeypatch.setattr(substring_dedup, "LARGEST", largest)
+    monkeypatch.setattr(staging, "BROADCAST", -1)
+    assert got(substring_dedup.substring_dedup(docs, length), *names) == want
 
 
 def _jaccard(rows, k, num, den):
