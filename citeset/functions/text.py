@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -109,6 +109,23 @@ def oai_identifier(pmcid: Column) -> Column:
     return F.concat(F.lit("oai:pubmedcentral.nih.gov:"), F.regexp_replace(pmcid, "^PMC", ""))
 
 
+def stable_ids(rows: DataFrame, column: str, ordinal: str) -> DataFrame:
+    """``pmcid, <ordinal>``: the ids of a column in normal form, each where it came first; one that is none raises."""
+    named = rows.select(normalize_pmcid(F.col(column)).alias("pmcid"), F.col(column).alias("raw"), ordinal)
+    bad = F.raise_error(F.concat(F.lit("not an article id: "), F.coalesce(F.col("raw").cast("string"), F.lit("null")))).cast("string")
+    return named.select(F.when(F.col("pmcid").isNull(), bad).otherwise(F.col("pmcid")).alias("pmcid"), ordinal).groupBy("pmcid").agg(F.min(ordinal).alias(ordinal))
+
+
+def oai_url(pmcid: Column, base: str) -> Column:
+    """The address of an article's record in the harvesting service."""
+    return F.concat(F.lit(f"{base}?verb=GetRecord&identifier="), F.replace(oai_identifier(pmcid), F.lit(":"), F.lit("%3A")), F.lit("&metadataPrefix=pmc"))
+
+
+def article_path(pmcid: Column, folder: str) -> Column:
+    """Where an article's file lies."""
+    return F.concat(F.lit(folder.rstrip("/") + "/"), pmcid, F.lit(".nxml"))
+
+
 def label_key(c: Column) -> Column:
     """A reference label without its wrapping, leading zeros and period: ``[07a].`` becomes ``7a``."""
     digits = F.regexp_extract(c, r"^\s*[(\[]?\s*0*(\d{1,4})([A-Za-z]?)\s*[)\]]?[.]?\s*$", 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -144,21 +145,22 @@ def coreferent_keys(contexts: DataFrame, model: Callable[[], object], key: tuple
 
     ``model()`` is called once per task and gives an object whose ``pipe(texts, batch_size=…)`` yields
     documents with ``_.coref_clusters``: lists of (begin, end) character spans. A query depends on its
-    context if a cluster has a mention inside the context and one in the query that is an anaphor.
+    context if a cluster has a mention inside the context and one in the query that begins as an anaphor does.
+    Rows with a blank context or query are independent.
     """
-    words = frozenset(x.lower() for x in markers)
+    begins = re.compile(rf"\s*(?:{'|'.join(re.escape(x) for x in sorted(markers, key=len, reverse=True))})(?:$|[ ,:;])", re.IGNORECASE)
 
     def run(batches: Iterator):
         nlp = model()
         for pdf in batches:
-            starts = [len(c) + 1 for c in pdf["context"]]
+            ends = [len(c) for c in pdf["context"]]
             texts = [f"{c} {q}" for c, q in zip(pdf["context"], pdf["query"], strict=True)]
             keep = []
-            for t, border, doc in zip(texts, starts, nlp.pipe(texts, batch_size=batch_size), strict=True):
-                crossing = lambda spans: any(e <= border for _, e in spans) and any(b >= border and (t[b:e].lower() in words or t[b:e].lower().split(" ")[0] in words) for b, e in spans)  # noqa: B023, E731
-                keep.append(any(crossing(x) for x in doc._.coref_clusters))
+            for t, border, doc in zip(texts, ends, nlp.pipe(texts, batch_size=batch_size), strict=True):
+                crossing = lambda spans: any(e <= border for _, e in spans) and any(b > border and begins.match(t[b:e]) for b, e in spans)  # noqa: B023, E731
+                keep.append(any(crossing(x) for x in doc._.coref_clusters or ()))
             yield pdf.loc[keep, list(key)]
 
-    rows = contexts.where("context IS NOT NULL AND query IS NOT NULL").select(*key, "context", "query")
+    rows = contexts.where(F.col("context").rlike(r"(?U)\S") & F.col("query").rlike(r"(?U)\S")).select(*key, "context", "query")
     schema = ", ".join(f"{k} {contexts.schema[k].dataType.simpleString()}" for k in key)
     return rows.mapInPandas(run, schema).distinct()

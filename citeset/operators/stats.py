@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..staging import stage
 
 
 def reference_counts(articles: DataFrame, sources: DataFrame) -> DataFrame:
@@ -80,5 +81,13 @@ def assert_all(df: DataFrame, condition: Column, message: str) -> DataFrame:
 
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Add ``batch``: runs of ``size`` rows in order, for requests of a fixed size."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    """Add ``batch``: runs of ``size`` rows in order, for requests of a fixed size.
+
+    Rows are dealt by ranges of the order column; a partition numbers its own rows after the counts of those before it,
+    so no task holds them all. Ties and nulls are allowed.
+    """
+    rows = stage(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "ordered-rows")
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row per partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)) / size)).drop("_id", "_part", "_before")

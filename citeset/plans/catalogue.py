@@ -118,10 +118,10 @@ _CONN = ("however", "in addition", "as a result", "therefore", "notably", "")
 
 
 @query(oracle("v_text", body=rf"""SELECT doc_id, upper(left(q, 1)) || substring(q, 2) AS query FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(trim(q0), '(?i)^(?:(?:{_phrases(fixed.CONNECTIVES)})(?:$|[ ,:;])[ ,;:-]*)+', ''), '\s+', ' ', 'g')) AS q
-    FROM (SELECT doc_id, list_extract(['However, ', 'in addition: ', 'As a result ', 'THEREFORE; ', 'Notably, thus, ', ''], (doc_id % 6 + 1)::INT) || query AS q0 FROM v_text WHERE lang = 'en'))"""))
+    FROM (SELECT doc_id, list_extract(['However, ', 'in addition: ', 'As a result ', 'THEREFORE; ', 'Notably, thus, ', ''], (doc_id % 6 + 1)::INT) || query AS q0 FROM v_text))"""))
 def strip_connectives(s, d):
     lead = F.get(F.array(*map(F.lit, ("However, ", "in addition: ", "As a result ", "THEREFORE; ", "Notably, thus, ", ""))), (F.col("doc_id") % 6).cast("int"))
-    rows = views.texts(s, d).where("lang = 'en'").withColumn("query", F.concat(lead, "query"))
+    rows = views.texts(s, d).withColumn("query", F.concat(lead, "query"))
     return _chain(s, d, rows).cleanup().df.select("doc_id", "query")
 
 
@@ -201,23 +201,32 @@ def shared_decoys(s, d):
     return decoys.shared_decoys(_benchmark(s, d), views.sources(s, d), 19).select("query_id", _joined(F.col("selected_decoys")).alias("selected_decoys"), "n_selected_decoys")
 
 
-_HARD = f"{_OPTIONS}, hard AS (SELECT query_id, source_pmcid, hits, options[1:3] AS decoys FROM opt WHERE len(hits) = 1)"
+_HARD = f"{_OPTIONS}, hard AS (SELECT query_id, source_pmcid, hits, options[1:19] AS decoys FROM opt WHERE len(hits) = 1)"
 
 
-def _hard(s, d, n: int = 3) -> DataFrame:
+def _hard(s, d, n: int = 19) -> DataFrame:
     rows = decoys.decoy_options(views.contexts(s, d).where("n_hits = 1"), views.sources(s, d))
     return rows.join(views.contexts(s, d).select("query_id", "hits"), "query_id").select("query_id", "source_pmcid", "hits", F.slice("options", 1, n).alias("decoys"))
 
 
 @query(oracle("v_ctx", "v_src", body=f"+ {_HARD}, ev AS (SELECT DISTINCT unnest(decoys) AS x FROM hard), own AS (SELECT DISTINCT source_pmcid, unnest(decoys) AS x FROM hard) SELECT query_id, count(ev.x) AS n_pool FROM hard JOIN ev ON NOT list_contains(hits, ev.x) AND NOT EXISTS (SELECT 1 FROM own WHERE own.source_pmcid = hard.source_pmcid AND own.x = ev.x) GROUP BY 1"))
 def soft_pool(s, d):
-    return decoys.soft_pool(_hard(s, d)).select("query_id", F.size("pool").cast("long").alias("n_pool"))
+    return decoys.soft_pool_sizes(_hard(s, d)).select("query_id", F.col("n_pool").cast("long").alias("n_pool"))
 
 
-@query()
+# Ids and queries lie on a ring of blocks of 256, one ring for ids with terms and one for the others.
+_RING = "CAST(floor(CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT) * ring / 4294967296) AS BIGINT)"
+
+
+@query(oracle("v_ctx", "v_src", "v_terms", body=f"""+ {_HARD}, ev AS (SELECT DISTINCT unnest(decoys) AS x FROM hard), own AS (SELECT DISTINCT source_pmcid, unnest(decoys) AS x FROM hard),
+    marked AS (SELECT x, x IN (SELECT pmid FROM v_terms WHERE len(terms) > 0) AS m FROM ev), rings AS (SELECT m, (count(*) + 255) // 256 AS ring FROM marked GROUP BY 1),
+    placed AS (SELECT x, m, ring, md5('42:' || x) AS h, {_RING.format(x="'42:' || x")} AS b FROM marked JOIN rings USING (m)),
+    r AS (SELECT query_id, x, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, (b - {_RING.format(x="'42/' || query_id")} + ring) % ring, h) AS k
+          FROM hard JOIN placed ON NOT list_contains(hits, x) AND NOT EXISTS (SELECT 1 FROM own WHERE own.source_pmcid = hard.source_pmcid AND own.x = placed.x))
+    SELECT query_id, string_agg(x, ',' ORDER BY k) AS soft FROM r WHERE k <= 80 GROUP BY 1"""))
 def soft_sample(s, d):
     marked = views.terms(s, d).where(F.size("terms") > 0)
-    return decoys.soft_sample(decoys.soft_pool(_hard(s, d, 19)), marked, 80, 42).select("query_id", _joined(F.col("soft")).alias("soft"))
+    return decoys.soft_sample(_hard(s, d), marked, 80, 42).select("query_id", _joined(F.col("soft")).alias("soft"))
 
 
 @query(oracle("v_ctx", "v_src", "v_terms", body=f"+ {_HARD}, p AS (SELECT query_id, hits[1] AS positive, unnest(decoys) AS pmid, generate_subscripts(decoys, 1) AS o FROM hard) SELECT query_id, o - 1 AS o, round(CASE WHEN len(a.terms) > 0 AND len(b.terms) > 0 THEN len(list_intersect(a.terms, b.terms)) / len(list_distinct(a.terms || b.terms)) END, 6) AS similarity FROM p JOIN v_terms a ON a.pmid = positive JOIN v_terms b ON b.pmid = p.pmid"))
@@ -283,12 +292,12 @@ def previous_query(s, d):
 
 # Text --------------------------------------------------------------------------------------------
 
-_MARKED = r"m AS (SELECT doc_id, split_part(text, chr(10), 1) || CASE doc_id % 4 WHEN 0 THEN ' [xref:R1], [xref:R2], ends' WHEN 1 THEN ' ([xref:R3]) here.' WHEN 2 THEN ' [[xref:R4] - [xref:R5]] . x' ELSE ' foo() []' END AS x FROM documents WHERE lang = 'en')"
+_MARKED = r"m AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' [xref:R1], [xref:R2], ends' WHEN 1 THEN ' ([xref:R3]) here.' WHEN 2 THEN ' [[xref:R4] - [xref:R5]] . x' ELSE ' foo() []' END AS x FROM documents)"
 
 
 def _marked(s, d) -> DataFrame:
     tail = F.get(F.array(*map(F.lit, (" [xref:R1], [xref:R2], ends", " ([xref:R3]) here.", " [[xref:R4] - [xref:R5]] . x", " foo() []"))), (F.col("doc_id") % 4).cast("int"))
-    return t(s, d, "documents").where("lang = 'en'").select("doc_id", F.concat(F.split_part("text", F.lit("\n"), F.lit(1)), tail).alias("x"))
+    return t(s, d, "documents").select("doc_id", F.concat("text", tail).alias("x"))
 
 
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(replace({x}, '▪', ' '), '[\s\x0b\x85\xa0]+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g'), '\s+([)\]}}])', '\1', 'g')"

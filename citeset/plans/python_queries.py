@@ -36,7 +36,9 @@ def _escaped(c):
     return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-@query()
+@query("WITH v_ctx AS (" + views.SQL["v_ctx"] + """), p AS (SELECT *, row_number() OVER (PARTITION BY source_pmcid ORDER BY query_id) - 1 AS n FROM v_ctx)
+    SELECT source_pmcid, n::INT AS paragraph_index, 0 AS sentence_index, 'Claim ' || query_id || ' holds.' AS query, array_to_string(hits, ',') AS hits, n_hits::INT AS n_hits,
+           lag('Claim ' || query_id || ' holds.') OVER (PARTITION BY source_pmcid ORDER BY query_id) AS context FROM p""")
 def jats_parse(s, d):
     """Articles written as XML from the orders, and parsed into contexts again."""
     src = views.sources(s, d).withColumn("xml", F.concat(F.lit('<ref id="'), "rid", F.lit('"><label>'), F.col("ref_ordinal"), F.lit("</label><element-citation><article-title>T</article-title><year>2001</year><pub-id pub-id-type=\"pmid\">"), "pmid", F.lit("</pub-id></element-citation></ref>")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values. What is appended to the first line of a document, by doc_id % 12.
+# Fixed values. What is appended to the text of a document, by doc_id % 12.
 DECORATIONS = (
     "", " (Nordin, 2011) and", " Nordin (2011)", " Nordin et al.", " [3, 7]", " doi: 10.1/x", " unpublished data", " (e.g.)", " ▸", " [xref:R1] ends", " Nordin, 2011", " (2.5%)",
 )
@@ -40,9 +40,9 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents, decorated by ``doc_id % 12``."""
+    """Whole texts of documents, decorated by ``doc_id % 12``."""
     extra = F.get(F.array(*map(F.lit, DECORATIONS)), (F.col("doc_id") % 12).cast("int"))
-    return t(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.split_part("text", F.lit("\n"), F.lit(1)), extra).alias("query"))
+    return t(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("text", extra).alias("query"))
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ SQL = {
     "v_ctx": "SELECT o_orderkey AS query_id, 'PMC' || o_custkey AS source_pmcid, list_sort(list(DISTINCT l_partkey::VARCHAR)) AS hits, len(list(DISTINCT l_partkey)) AS n_hits FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
     "v_src": "SELECT 'PMC' || o_custkey AS source_pmcid, l_partkey::VARCHAR AS pmid, 'R' || l_partkey AS rid, l_partkey::INT AS ref_ordinal, list_sort(list(DISTINCT 'Sn' || l_suppkey)) AS authors FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey",
     "v_meta": "SELECT 'PMC' || c_custkey AS pmcid, ['Sn' || (c_custkey % n), 'Sn' || ((c_custkey + 1) % n)] AS authors FROM customer, (SELECT count(*) AS n FROM supplier)",
-    "v_text": "SELECT doc_id, lang, split_part(text, chr(10), 1) || list_extract([" + ", ".join(f"'{x}'" for x in DECORATIONS) + "], (doc_id % 12 + 1)::INT) AS query FROM documents",
+    "v_text": "SELECT doc_id, lang, text || list_extract([" + ", ".join(f"'{x}'" for x in DECORATIONS) + "], (doc_id % 12 + 1)::INT) AS query FROM documents",
     "v_qtext": "SELECT query_id, source_pmcid, hits, n_hits, query || CASE WHEN query_id % 5 = 0 THEN ' SN' || (query_id % 97) ELSE '' END AS query FROM (SELECT *, query_id % (SELECT count(*) FROM documents) AS doc_id FROM v_ctx) JOIN v_text USING (doc_id)",
     "v_terms": "SELECT p_partkey::VARCHAR AS pmid, CASE WHEN p_partkey % 10 = 0 THEN [] ELSE list_distinct([p_brand, p_type, 'size' || (p_size // 10)] || string_split(p_name, ' ')) END AS terms FROM part",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -22,6 +24,10 @@ def _text(e: ET.Element | None) -> str | None:
     return re.sub(r"\s+", " ", "".join(e.itertext())).strip() or None
 
 
+def _bytes(x) -> bytes:
+    return x.encode() if isinstance(x, str) else bytes(x)
+
+
 def _major(e: ET.Element) -> bool:
     return e.get("MajorTopicYN") == "Y"
 
@@ -59,16 +65,35 @@ def descriptor_rows(payload: bytes) -> list[tuple]:
 
 
 def _extract(payloads: DataFrame, column: str, rows: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    """Rows of all payloads; those that aren't XML have none here, and a status in ``payload_status``."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for x in pdf[column]:
-                yield pd.DataFrame(rows(bytes(x) if not isinstance(x, str) else x.encode()), columns=names)
+                with contextlib.suppress(ET.ParseError):
+                    yield pd.DataFrame(rows(_bytes(x)), columns=names)
 
     return payloads.select(column).where(F.col(column).isNotNull()).mapInPandas(run, schema)
 
 
+def payload_status(payloads: DataFrame, column: str = "content") -> DataFrame:
+    """``digest, status, reason`` of each payload: ``complete``, or ``parse_error`` for what isn't XML."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x in pdf[column]:
+                try:
+                    ET.fromstring(_bytes(x))
+                    out.append((hashlib.sha256(_bytes(x)).hexdigest(), "complete", None))
+                except ET.ParseError as e:
+                    out.append((hashlib.sha256(_bytes(x)).hexdigest(), "parse_error", str(e)))
+            yield pd.DataFrame(out, columns=["digest", "status", "reason"])
+
+    return payloads.select(column).where(F.col(column).isNotNull()).mapInPandas(run, "digest string, status string, reason string")
+
+
 def mesh_terms(payloads: DataFrame, column: str = "content", include_qualifiers: bool = True) -> DataFrame:
     return _extract(payloads, column, lambda x: term_rows(x, include_qualifiers), schemas.MESH_TERMS)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 
 def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(terms, edges)``: a stanza per record through the line separator; edges lead from child to parent."""
@@ -21,21 +25,32 @@ def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return terms.drop("parents"), terms.select(F.col("go_id").alias("child"), F.explode("parents").alias("parent"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, level, depth`` for ``nodes(node)`` and ``edges(child, parent)``.
 
-    Walks down from the roots one level at a time over distinct (node, distance) pairs, so that the many
-    paths of a wide graph never multiply. A cycle raises.
+    Takes off the nodes all of whose parents are gone, round by round: a node's round is its depth, and its level is one more
+    than its parents' least. Every edge is followed once, however many paths there are; a round per depth is written
+    to the shared folder. Edges to or from other nodes don't count. Where nodes are left that wait for one another, the graph
+    has a cycle and ``ValueError`` is raised, however deep it is.
     """
-    down = edges.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi")
-    reached = nodes.join(down.select(F.col("child").alias("node")).distinct(), "node", "left_anti").select("node").withColumn("d", F.lit(0))
-    front, found = reached, reached
-    for step in range(1, most + 1):
-        front = front.join(down, front["node"] == down["parent"]).select(F.col("child").alias("node")).distinct().withColumn("d", F.lit(step)).cache()
+    names = nodes.select("node").distinct()
+    both = edges.select("child", "parent").distinct().join(names.withColumnRenamed("node", "parent"), "parent", "left_semi").join(names.withColumnRenamed("node", "child"), "child", "left_semi")
+    down = stage(both, "dag-edges")
+    waits = down.groupBy("child").agg(F.count("*").alias("waits")).withColumnRenamed("child", "node")
+    state = stage(names.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("level")), "dag-nodes")
+    found, depth = [], 0
+    while True:
+        front = state.where("waits = 0").select("node", F.coalesce("level", F.lit(0)).alias("level"), F.lit(depth).alias("depth"))
+        left = state.where("waits > 0")
+        found.append(front)
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, found)
         if front.isEmpty():
-            return found.groupBy("node").agg(F.min("d").alias("level"), F.max("d").alias("depth"))
-        found = found.unionAll(front)
-    raise ValueError("the graph is deeper than allowed, or has a cycle")
+            raise ValueError("the graph has a cycle")
+        gone = down.join(front, down["parent"] == front["node"]).groupBy("child").agg(F.count("*").alias("gone"), (F.min("level") + 1).alias("via"))
+        met = left.join(gone.withColumnRenamed("child", "node"), "node", "left")
+        state = stage(met.select("node", (F.col("waits") - F.coalesce("gone", F.lit(0))).alias("waits"), F.least("level", "via").alias("level")), "dag-nodes")
+        depth += 1
 
 
 def terms_up_to(terms: DataFrame, edges: DataFrame, max_level: int, metric: str = "level", namespace: str | None = None, include_obsolete: bool = False) -> DataFrame:

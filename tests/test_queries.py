@@ -31,7 +31,10 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - set(LLM)))
 def test_query_runs(spark, name):
-    assert entry.queries()[name](spark, SF).columns
+    """Every row is made; what the rows are is tested with the operators."""
+    rows = entry.queries()[name](spark, SF).collect()
+    assert rows
+    assert len(rows[0]) >= 2
 
 
 def test_flagship(spark):
