@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import ClassVar
 from urllib.parse import urlparse
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..staging import bounded, discard, new_path, shared_dir, stage
 
-__all__ = ["Memory", "RangeReader", "bounded", "discard", "new_path", "partitions", "shared_dir", "slices", "stage", "table", "write_file"]
+__all__ = ["Memory", "RangeReader", "bounded", "discard", "lean", "new_path", "partitions", "shared_dir", "slices", "stage", "table", "trim", "write_file"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,17 +52,40 @@ class Memory:
 
     def use(self) -> None:
         if Memory._active is not self:
-            for other in Memory._all:
-                if other is not self:
-                    other.clear()
-            Memory._active = self
-            with contextlib.suppress(AttributeError, OSError):  # only some C libraries can return free memory
-                ctypes.CDLL(None).malloc_trim(0)
+            Memory._clear_but(self)
+
+    @classmethod
+    def _clear_but(cls, one: Memory | None) -> None:
+        for other in cls._all:
+            if other is not one:
+                other.clear()
+        cls._active = one
+        trim()
 
     def clear(self) -> None:
         raise NotImplementedError
 
 
+def trim() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow`` that begins without what earlier operators remember in this worker, and leaves nothing behind."""
+
+    def wrapped(batches):
+        Memory._clear_but(None)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def _local(uri: str) -> str | None:
     parsed = urlparse(uri)
     return parsed.path if parsed.scheme in ("", "file") else None

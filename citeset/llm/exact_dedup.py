@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, slices, stage
+from .common import bounded, discard, lean, slices, stage
 
 #: White space that normalisation deletes (fixed by the contract).
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -53,7 +53,7 @@ def _keys(prefix: int):
                 columns = [[x[0] for x in found], [x[1] for x in found], [_slot(*x) for x in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["n_bytes", "head", "slot"])
 
-    return run
+    return lean(run)
 
 
 def _bitmap(slots: DataFrame) -> np.ndarray:
@@ -77,7 +77,7 @@ def _hash(prefix: int, every: bool, shared):
                     full.append(hashlib.sha256(x).hexdigest() if every or bits[slot >> 3] >> (slot & 7) & 1 else None)
                 yield pa.RecordBatch.from_arrays([*map(part.column, ("doc_id", "n_points")), pa.array(full, pa.string())], names=["doc_id", "n_points", "text_sha256"])
 
-    return run
+    return lean(run)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest_all: bool = False) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded, partitions, slices, stage
+from .common import bounded, lean, partitions, slices, stage
 
 #: Shingles of a component that one task verifies.
 LARGEST = 2_000_000
@@ -231,7 +231,7 @@ def _scan(k: int, t: Threshold, buckets: int):
                     yield rows(bucket=pa.array(used.astype(np.int32)), base=pa.array(np.full(len(used), base)), entries=pa.array(held, pa.binary()))
                 base += len(place)
 
-    return run
+    return lean(run)
 
 
 def _meet(most: int):
@@ -257,7 +257,7 @@ def _meet(most: int):
         if held:
             yield emit(base, held)
 
-    return run
+    return lean(run)
 
 
 def boundary(counts: dict[int, int], lengths: dict[int, int], t: Threshold) -> int:
@@ -284,7 +284,7 @@ def _subsets(t: Threshold, most: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["list", "c", "node", "n"])
 
-    return run
+    return lean(run)
 
 
 def light_links(classes: DataFrame, t: Threshold, light: int) -> DataFrame:
@@ -359,7 +359,7 @@ def _verify(k: int, t: Threshold):
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def verified_links(texts: DataFrame, own: DataFrame, k: int, t: Threshold) -> DataFrame:

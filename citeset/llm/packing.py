@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import lean, slices, stage
 from .tokens import CHARACTERS, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
@@ -180,7 +180,7 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
 
     # The counts grow with the tasks, so they are never broadcast.
     numbered = pieces.join(firsts.select("task", "length", "before").hint("merge"), ["task", "length"]).withColumn("number", F.col("nth") + F.col("before"))
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:

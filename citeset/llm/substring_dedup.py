@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, partitions, slices, stage
+from .common import bounded, discard, lean, partitions, slices, stage
 from .suffixes import deep_shallow
 
 LENGTH, K = 200, 64
@@ -113,7 +113,7 @@ def _find(length: int):
                 keys = part.column("key").take(pa.array(np.repeat(np.arange(len(n)), n)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in found]).view(np.int64)), keys, pa.array(np.concatenate([p for p, _ in found]).astype(np.int64))], names=["hash", "key", "pos"])
 
-    return run
+    return lean(run)
 
 
 def _contexts(length: int, content: bool):
@@ -142,7 +142,7 @@ def _contexts(length: int, content: bool):
                     types = [pa.int64()] * 3 + ([pa.int64(), pa.binary(), pa.binary()] if content else [pa.binary(), pa.int64()])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*NAME, *(("n", "left", "right") if content else ("key", "pos"))])
 
-    return run
+    return lean(run)
 
 
 def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], reach: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +210,7 @@ def _cover(length: int):
         if rows:
             yield emit(rows)
 
-    return run
+    return lean(run)
 
 
 def split_groups(contexts: DataFrame, reach: int) -> tuple[DataFrame, DataFrame | None]:
@@ -294,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` after removing every byte of a repeated string."""
     rows, _, texts = repeated_spans(docs, length, id_col, text_col)
-    cut = texts.select("key", "text", "spans").mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    cut = texts.select("key", "text", "spans").mapInArrow(lean(_cut), "key binary, n_removed long, n_spans long, kept_sha256 string")
     copies = rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_removed")).where("n > 1")
     cut = cut.dropDuplicates(["key"]).withColumn("n", F.lit(1).cast("long"))
     whole = copies.select("key", "n_removed", F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), "n")

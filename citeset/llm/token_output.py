@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import new_path, partitions, slices, stage, write_file
+from .common import lean, new_path, partitions, slices, stage, write_file
 from .tokens import CHARACTERS, encoder
 
 FILE_TOKENS = 4_000_000
@@ -82,7 +82,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 reader.close()
 
     n = partitions(manifest.sparkSession)
-    return manifest.repartitionByRange(n, "shard", "part").select("path", "first").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartitionByRange(n, "shard", "part").select("path", "first").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeReader, bounded, new_path, partitions, slices, stage, write_file
+from .common import RangeReader, bounded, lean, new_path, partitions, slices, stage, write_file
 
 LEAST = 100
 FILE_BYTES = 64 << 20
@@ -115,7 +115,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     # Staged apart, so that the pages of a frequent payload are a skewed partition that can be split. Short pages are dealt by their id.
     first = bounded(stage(first.where("n > 1").select(F.col("digest").alias("meet"), "first"), "warc-first"))
     meet = F.when(F.octet_length("html") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    return stage(rows.withColumn("meet", meet).join(first, "meet", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(write, INDEX_DDL), "warc-index")
+    return stage(rows.withColumn("meet", meet).join(first, "meet", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(lean(write), INDEX_DDL), "warc-index")
 
 
 def read_warc(index: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def read_warc(index: DataFrame) -> DataFrame:
 
     placed = index.repartitionByRange(partitions(index.sparkSession), "path", "offset").sortWithinPartitions("path", "offset")
     ddl = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    return placed.select("path", "offset", "length").mapInArrow(read, ddl)
+    return placed.select("path", "offset", "length").mapInArrow(lean(read), ddl)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
