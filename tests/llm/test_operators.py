@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -19,6 +20,7 @@ from citeset.llm import (
     ngram_join,
     packing,
     quality,
+    samples,
     substring_dedup,
     token_counts,
     token_output,
@@ -192,7 +194,7 @@ def test_contamination(spark, docs, none):
 
 def test_warc(spark):
     big = "<p>é</p>" * 30
-    pages = [(5, "http://x/1", big), (2, None, big), (9, "u", big), (4, "a b\n", "short"), (3, "v", "short"), (8, "w", None), (None, "n", big), (2, None, big)]
+    pages = [(5, "http://x/1", big), (2, None, big), (9, "u", big), (4, "a b\n", "short"), (3, "v", "short"), (8, "http://a/b%41c?x=%2520", None), (None, "ü %7A", big), (2, None, big)]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, digest string")
     out = warc.warc_round_trip(df)
     assert got(out, "page_id", "record_type", "refers_to") == sorted([(5, "revisit", 2), (2, "response", None), (9, "revisit", 2), (4, "response", None), (3, "response", None), (8, "response", None), (None, "revisit", 2), (2, "response", None)], key=repr)
@@ -234,24 +236,90 @@ def test_classifiers(spark, docs, none):
     assert np.mean([a == b for a, b in names.values()]) > 0.9
 
 
-def test_pipeline(spark):
-    frame = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, texts = frame.columns, {x["doc_id"]: x["text"] for x in frame.collect()}
-    kept = []
-    docs = frame
-    for name, step in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stage(step(spark, docs, SF), name)
-        assert docs.columns == columns
-        kept.append({x["doc_id"] for x in docs.collect()})
-    good, exact, near, clean = kept
-    norm = lambda i: "".join((texts[i] or "").split())
-    assert len(exact) == len({norm(i) for i in good})
-    found = {i: c for i, _, c in _jaccard([(i, texts[i]) for i in sorted(exact)], 5, 80, 100)}
-    assert near == {i for i, c in found.items() if i == c}
-    assert clean <= near
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {x["doc_id"] for x in last.collect()} == clean
-    assert got(corpus_pipeline.run(spark, SF), "doc_id", "piece", "ids_crc32") == got(last, "doc_id", "piece", "ids_crc32")
+def test_classifiers_on_held_out_labels(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    for run, label in ((quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")):
+        held = run(d, lab).where("held_out").join(lab, "doc_id").select("predicted", label).collect()
+        assert len(held) > 50
+        assert np.mean([x["predicted"] == x[label] for x in held]) > 0.93
+
+
+def test_samples_are_bounded(spark):
+    """An id that many rows repeat, null languages beside others, and a text too long to learn from."""
+    rows = [(1, "good words here", None)] * 300 + [(1, "good words here", "en"), (2, "bad vile words", None), (3, "x " * samples.LONGEST, "en"), (4, "other good words", "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 1), (4, 0, 0)], "doc_id long, toxic int, quality int")
+    got = samples.labelled(d, lab, "toxic", F.lit(True), 10, ("lang",)).collect()
+    assert Counter(x["label"] for x in got) == {0: 10, 1: 1}
+    assert toxicity.toxicity_scores(d, lab, rows=10).count() == len(rows)
+    assert quality.quality_scores(d, lab, rows=10).count() == len(rows)
+
+
+def test_long_texts(spark, monkeypatch):
+    """Texts beyond every block: of files, reads, slices, anchors and ranges."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, None), (4, "head " + long[:200_000]), (5, long[100_000:100_300]), (6, "short text of its own")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(token_output, "FILE_TOKENS", 1000)
+    monkeypatch.setattr(token_output, "READ_TOKENS", 500)
+    out = sorted(token_output.token_output(d, BYTES, 2).collect(), key=lambda x: x["start"])
+    assert [(x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in out] == [(i, len(k), crc(k)) for i, t in rows for k in [ids_of(BYTES, t, 2)]]
+    assert got(token_counts.token_counts(d, BYTES, 100)[0], "doc_id", "n_tokens") == [(i, len(ids_of(BYTES, t, 2)) - 1) for i, t in rows]
+    pieces = packing.best_fit_packing(d, WORDS, 1, 4096).collect()
+    assert Counter(x["doc_id"] for x in pieces) == Counter({i: -(-len(ids_of(WORDS, t, 1)) // 4096) for i, t in rows})
+    assert got(ngram_join.jaccard_components(d, 4, 85, 100), "doc_id", "n_shingles", "component_id") == _jaccard(rows, 4, 85, 100)
+    norm = lambda t: (t or "").encode().translate(None, exact_dedup.BLANKS)
+    assert got(exact_dedup.exact_groups(d, digest_all=True), "doc_id", "text_sha256") == [(i, hashlib.sha256(norm(t)).hexdigest()) for i, t in rows]
+    cut = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in substring_dedup.substring_dedup(d).collect()}
+    assert cut == {1: (len(long),) * 2 + (1,), 2: (len(long) + 4, len(long), 1), 3: (0, 0, 0), 4: (200_005, 200_000, 1), 5: (300, 300, 1), 6: (21, 0, 0)}
+    bench = spark.createDataFrame([(9, long[150_000:150_400].partition(" ")[2].rpartition(" ")[0])], "item_id long, text string")
+    found = {x["doc_id"]: x["n_items"] for x in decontaminate.contamination(d, bench).collect()}
+    assert found == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    monkeypatch.setattr(warc, "RANGE", 50_000)
+    monkeypatch.setattr(warc, "GAP", 0)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in [*rows, (7, long)]], "page_id long, url string, html string")
+    back = {x["page_id"]: (x["record_type"], x["payload_bytes"], x["refers_to"]) for x in warc.warc_round_trip(pages).collect()}
+    assert back == {i: ("response", len(t or ""), None) for i, t in rows} | {7: ("revisit", len(long), 1)}
+    lab = spark.createDataFrame([(5, 0, 0), (6, 1, 1)], "doc_id long, toxic int, quality int")
+    for run in (lambda: toxicity.toxicity_scores(d, lab, lang=None), lambda: quality.quality_scores(d, lab)):
+        assert all(0 <= x["score"] <= 1 for x in run().collect())
+
+
+def test_joins_by_shuffle_only(spark, docs, monkeypatch):
+    """The far side of every broadcast that is bounded by size."""
+    bench = spark.createDataFrame([(1, " ".join(docs.where("doc_id = 5").first()["text"].split()[20:50]))], "item_id long, text string")
+    html = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    runs = [
+        lambda: got(decontaminate.contamination(docs, bench), "doc_id", "n_words", "n_hit", "items_sha256"),
+        lambda: got(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept"),
+        lambda: got(token_counts.token_counts(docs, BYTES, 100)[0], "doc_id", "n_tokens"),
+        lambda: got(warc.warc_round_trip(html), "page_id", "record_type", "refers_to", "payload_digest"),
+        lambda: got(ngram_join.jaccard_components(docs, 4, 85, 100), "doc_id", "component_id"),
+        lambda: got(substring_dedup.substring_dedup(docs, 80), "doc_id", "kept_sha256"),
+    ]
+    want = [run() for run in runs]
+    monkeypatch.setattr(staging, "BROADCAST", -1)
+    assert [run() for run in runs] == want
+
+
+def test_light_sets_are_linked_by_subsets(spark, monkeypatch):
+    """All links come from the light side when lists are made to look long, all from the heavy side when short."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(n)] for n in range(8, 17) for _ in range(6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100 + i, " ".join(w[1:])) for i, w in enumerate(base)] + [(200 + i, " ".join([*w[:-1], word()])) for i, w in enumerate(base)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _jaccard(rows, 4, 85, 100)
+    for light in (0, 9, ngram_join.Threshold(85, 100).most()):
+        monkeypatch.setattr(ngram_join, "boundary", lambda *_, light=light: light)
+        assert got(ngram_join.jaccard_components(d, 4, 85, 100), "doc_id", "n_shingles", "component_id") == want
+    assert sum(i != c for i, _, c in want) > 20
+    monkeypatch.setattr(ngram_join, "verified_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    found = got(ngram_join.jaccard_components(d, 4, 85, 100), "doc_id", "n_shingles", "component_id")
+    assert [x for x in found if x[1] <= 13] == [x for x in want if x[1] <= 13]
 
 
 def test_token_counts_reads_its_cache(spark, monkeypatch):

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from citeset.llm import dac, ngram_join, packing, quality, suffixes, toxicity, warc
+from citeset.llm import dac, ngram_join, packing, quality, substring_dedup, suffixes, toxicity, warc
 from citeset.llm.tokens import PieceEncoder
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -79,6 +79,50 @@ def test_triple_sums_fill_gaps():
     assert packing.plan(counts, 100)[0] == ((50, 23, 17, 10), 1)
 
 
+def test_sums_are_those_of_a_plain_search():
+    for seed in range(40):
+        r = random.Random(seed)
+        left = np.bincount([r.randint(1, 30) for _ in range(r.randint(1, 25))], minlength=41)
+        sums = packing._Sums(left)
+        while left.any():
+            gap = r.randint(1, 40)
+            available = np.repeat(np.arange(41), left).tolist()
+            found = sums.fill(gap)
+            least = next((k for k in (1, 2, 3) if any(sum(c) == gap for c in set(itertools.combinations(available, k)))), None)
+            assert (found and len(found)) == least
+            if found:
+                assert sum(found) == gap
+                assert not Counter(found) - Counter(available)
+            for x in found or available[:1]:
+                left[x] -= 1
+
+
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    raw = bytes(np.random.default_rng(2).integers(97, 101, 5000, np.uint8))
+    places, hashes = substring_dedup.anchors(raw)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 300)
+    again = substring_dedup.anchors(raw)
+    assert places.tolist() == again[0].tolist()
+    assert hashes.tolist() == again[1].tolist()
+
+
+def test_toxicity_score_equals_a_plain_convolution():
+    r, words = random.Random(3), ["alpha", "beta", "Gamma!", "delta", "stone", "river"]
+    texts = ["", "one", *(" ".join(r.choice(words) for _ in range(n)) for n in (2, 5, 40))]
+    m = toxicity.Model()
+    for text in texts:
+        vectors = [m.e[ids[ids != toxicity._NONE]].sum(axis=0) / np.sqrt(max(1, (ids != toxicity._NONE).sum())) for ids in map(toxicity._hashes, text.split())]
+        vectors += [np.zeros(toxicity.DIM)] * toxicity.PAD
+        best = []
+        for w, c, k in zip(m.w, m.c, toxicity.WIDTHS, strict=True):
+            for f in range(toxicity.FILTERS):
+                seen = [c[f]] + [c[f] + sum(vectors[i + j] @ w[j][:, f] for j in range(k)) for i in range(len(vectors) - toxicity.PAD)]
+                best.append(max(0.0, *seen))
+        want = 1 / (1 + np.exp(-(np.array(best) @ m.v + m.b[0])))
+        got = toxicity._sigmoid(m.logit(toxicity._pool_words(toxicity._Table(m), [text])))[0]
+        assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_thresholds_are_exact():
     t = ngram_join.Threshold(85, 100)
     for m in range(1, 40):
@@ -134,7 +178,7 @@ def test_members_equal_brute_force():
 
 
 def test_records_round_trip():
-    for args in ((5, "http://a/ü b\r\n", "é<p>".encode() * 50, "d", None, False), (None, None, b"", "d", 3, True)):
+    for args in ((5, "http://a/ü b\r\n", "é<p>".encode() * 50, "d", None, False), (None, None, b"", "d", 3, True), (7, "http://a/b%41c?x=%2520", b"x", "d", None, False, "1.0.99")):
         head, http, payload = warc.parse(warc.record(*args))
         assert int(http["Content-Length"]) == len(args[2])
         assert payload == (b"" if args[5] else args[2])
