@@ -8,14 +8,19 @@ linked when the intersection is at least ``num / den`` of the union.
   Every member of a subset's list is linked to the list's smallest set if c is enough for both sizes, and
   to no member otherwise: these links are certain and need no texts.
 * Heavy sets: linked sets differ in at most d shingles, so of more than d parts of the hash space one has
-  the same shingles in both. A set enters one inverted list per part, named by all its shingles there
-  (about five), for its own band of sizes and for the next. A set with so many empty parts that the equal one may be
-  empty enters, besides, the lists of the shingles of its prefix in hash order. Members of a list are tied to
+  the same shingles in both, frequent ones left out. A set enters one inverted list per part, named by all its
+  shingles there (about five), for its own band of sizes and for the next. A set with so many empty parts that the equal one
+  may be empty (it is mostly made of frequent shingles) enters, besides, the lists of its rarest shingles, as many as
+  its necessary prefix in rarity order. Members of a list are tied to
   its largest set; the components of these ties contain every link of a heavy set. Within each, the inverted lists
   of single shingles are scanned with counts: a set is compared only with sets that nothing reached before.
 * The boundary minimises the cost of both ways, from the subsets of light sets and the lengths that
   their lists have. It is at most ``most(t)``, up to where a set has no more subsets than twice its shingles.
 
+Which shingles are frequent decides the length of lists, not the links: any choice is right that is the same for all
+sets. Those are taken that blocks of texts hold in several sets; a shingle need not be in more than about the square
+root of the number of blocks to be found.
+
 A list never yields its pairs. Equal signatures of a block of texts meet before they are shuffled, so a
 list that a third of all sets share has one entry per block. Components beyond ``LARGEST`` shingles are
 verified in several tasks: blocks of their sets, each with some pivots, until all sets outside the component's
@@ -46,6 +51,10 @@ from .common import bounded, lean, partitions, slices, stage
 
 #: Shingles of a component that one task verifies.
 LARGEST = 2_000_000
+#: Bytes of text in a block that a task shingles at once.
+BLOCK = 2 << 20
+#: A shingle is frequent if it was counted so often; the most frequent so many are used.
+FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Buckets of signatures for each shuffle partition.
 BUCKETS = 4
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -123,15 +132,33 @@ class Threshold:
             start, end = self.starts[-1], self.den * self.starts[-1] // self.num + 1
             differ = 2 * (end - 1) * (self.den - self.num) // (self.num + self.den)
             least, k = -(-self.num * start // self.den), differ + 1
-            for _ in range(4):  # few of the smallest sets at this band have more empty parts than are spare
+            for _ in range(4):  # most of the smallest sets at this band have no more empty parts than are spare
                 empty = k * math.exp(-least / k)
-                k = differ + 1 + math.ceil(empty + 3 * math.sqrt(empty))
+                k = differ + 1 + math.ceil(empty + math.sqrt(empty))
             self.parts.append(k)
             self.spare.append(k - differ - 1)
             self.starts.append(end)
 
 
-def signatures(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+class Frequent:
+    """Shingles known to be frequent, with their counts. Rarity is the order of (count, hash), 0 being the count of others."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        order = np.argsort(shingles)
+        self.shingles, self.counts = shingles[order], counts[order]
+
+    def seen(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.zeros(len(x), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, x), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == x, self.counts[at], 0)
+
+    def prefix(self, s: np.ndarray, n: int) -> np.ndarray:
+        """The n rarest shingles of a set."""
+        return s[np.lexsort((s, self.seen(s)))[:n]]
+
+
+def signatures(sets: list[np.ndarray], t: Threshold, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
     """Names of the lists that sets enter, and the number of the set for each."""
     size = np.array([len(s) for s in sets], np.int64)
     if not size.sum():
@@ -140,23 +167,24 @@ def signatures(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.nda
     starts, parts, spare = np.array(t.starts), np.array(t.parts), np.array(t.spare)
     own = np.searchsorted(starts, size, "right") - 1
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    rare = frequent.seen(flat) == 0
+    flat, owner = flat[rare], owner[rare]
     names, who = [], []
     for up in (0, 1):
         band = own + up
         here = (size > 0) if not up else (size > 0) & (t.den * size >= t.num * starts[band])  # may be linked to a set of the next band
         use = here[owner]
         x, o = flat[use], owner[use]
-        if not len(x):
-            continue
-        k = parts[band].astype(np.uint64)
-        part = ((x >> np.uint64(32)) * k[o]) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (part[1:] != part[:-1])]))
-        sums, o = np.add.reduceat(x, first), o[first]
-        names.append(_mix(sums * _A + (band[o].astype(np.uint64) << np.uint64(1))))
-        who.append(o)
+        if len(x):
+            k = parts[band].astype(np.uint64)
+            part = ((x >> np.uint64(32)) * k[o]) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (part[1:] != part[:-1])]))
+            sums, o = np.add.reduceat(x, first), o[first]
+            names.append(_mix(sums * _A + (band[o].astype(np.uint64) << np.uint64(1))))
+            who.append(o)
         filled = np.bincount(o, minlength=len(sets))
         for i in np.flatnonzero(here & (parts[band] - filled > spare[band])):
-            p = sets[i][: t.prefix(int(size[i]))]
+            p = frequent.prefix(sets[i], t.prefix(int(size[i])))
             names.append(_mix(p * _A + ((np.uint64(band[i]) << np.uint64(1)) | np.uint64(1))))
             who.append(np.full(len(p), i))
     return np.concatenate(names), np.concatenate(who)
@@ -192,7 +220,30 @@ def _tie_rows(ties, cost) -> list[pa.Array]:
     return [pa.concat_arrays(x) for x in zip((a, b, na, nb), more, strict=True)]
 
 
-def _scan(k: int, t: Threshold, buckets: int):
+def _repeated(k: int):
+    """Shingles that occur in several different sets of a block of texts, with the number of these."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK):
+                sets = {xxhash.xxh3_128_digest(s.tobytes()): s for s in shingle_sets(part.column("text"), k)}
+                flat = np.sort(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]))
+                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+                seen = np.diff(np.append(first, len(flat)))
+                many = seen > 1
+                yield pa.RecordBatch.from_arrays([pa.array(flat[first[many]].view(np.int64)), pa.array(seen[many])], names=["shingle", "seen"])
+
+    return lean(run)
+
+
+def frequent_shingles(texts: DataFrame, k: int) -> Frequent:
+    """Shingles counted ``FREQUENT`` times in blocks of texts that have them several times; of more than ``MOST_FREQUENT`` the most frequent."""
+    counts = texts.select("text").mapInArrow(_repeated(k), "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT)
+    got = counts.orderBy(F.desc("seen"), "shingle").limit(MOST_FREQUENT).toArrow()
+    return Frequent(got.column("shingle").to_numpy().view(np.uint64), got.column("seen").to_numpy())
+
+
+def _scan(k: int, t: Threshold, buckets: int, shared):
     """Rows for documents, for ties within a block of texts, and for what each bucket of signatures gets of the block."""
     most = t.most()
     types = {"n": pa.int64(), "key": pa.binary(), "node": pa.int64(), "small": pa.binary(), "a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "bucket": pa.int32(), "base": pa.int64(), "entries": pa.binary()}
@@ -207,7 +258,7 @@ def _scan(k: int, t: Threshold, buckets: int):
                 columns = [given[c] if c in given else pa.nulls(size, x) for c, x in {"doc_id": kind, **types}.items()]
                 return pa.RecordBatch.from_arrays(columns, names=["doc_id", *types])
 
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK):
                 sets = shingle_sets(part.column("text"), k)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 place: dict[bytes, int] = {}
@@ -215,7 +266,7 @@ def _scan(k: int, t: Threshold, buckets: int):
                 one = [sets[i] for i in np.unique(local, return_index=True)[1]]
                 small = [s.astype("<u8").tobytes() if 0 < len(s) <= most else None for s in sets]
                 yield rows(doc_id=part.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), key=pa.array(keys, pa.binary()), node=pa.array(base + np.array(local, np.int64)), small=pa.array(small, pa.binary()))
-                name, who = signatures(one, t)
+                name, who = signatures(one, t, shared.value)
                 if len(name):
                     n = np.minimum([len(s) for s in one], 255)
                     kept, ties, cost = _ties(name, who, n[who], most)
@@ -337,7 +388,7 @@ def _verify(k: int, t: Threshold):
     def groups(batches):
         name, nodes, sets = None, [], []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK):
                 for g, b, node, key, s in zip(*(part.column(x).to_pylist() for x in ("root", "block", "node", "key")), shingle_sets(part.column("text"), k), strict=True):
                     if (g, b) != name:
                         if nodes:
@@ -408,7 +459,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     kind, most = docs.schema[id_col].dataType.simpleString(), t.most()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ddl = f"doc_id {kind}, n long, key binary, node long, small binary, a long, b long, na long, nb long, bucket int, base long, entries binary"
-    scanned = stage(texts.mapInArrow(_scan(k, t, BUCKETS * partitions(spark)), ddl), "sets")
+    shared = spark.sparkContext.broadcast(frequent_shingles(texts, k))  # at most MOST_FREQUENT rows of 16 bytes
+    scanned = stage(texts.mapInArrow(_scan(k, t, BUCKETS * partitions(spark), shared), ddl), "sets")
     rows = scanned.where("key IS NOT NULL").select("doc_id", "n", "key", "node", "small")
     blocks = scanned.where("bucket IS NOT NULL").select("bucket", "base", "entries")
     met = blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(most), "a long, b long, na long, nb long")

@@ -147,8 +147,10 @@ def test_linked_sets_share_a_list(num, den):
                 continue
             x = r.integers(0, 1 << 64, m + n - c, np.uint64)
             pair = [np.unique(x[:n]), np.unique(x[n - c :])]
-            names, who = ngram_join.signatures(pair, t)
-            assert set(names[who == 0].tolist()) & set(names[who == 1].tolist()), (m, n)
+            for share in (0, 0.1, 0.6, 0.9, 1):  # of shingles that are frequent
+                some = x[r.random(len(x)) < share]
+                names, who = ngram_join.signatures(pair, t, ngram_join.Frequent(some, r.integers(8, 12, len(some))))
+                assert set(names[who == 0].tolist()) & set(names[who == 1].tolist()), (m, n, share)
 
 
 def test_boundary_follows_the_lists():
