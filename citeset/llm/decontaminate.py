@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, partitions, stage
+from .common import bounded, discard, partitions, stage
 
 SIZE, SHINGLE = 13, 4
 #: Words and the letters that are lowered (fixed by the contract).
@@ -104,7 +104,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col:
     read = some.alias("t").join(per_doc.alias("c"), _same("t", "c")).select("t.doc_id", "t.hash", words(F.col("t.text")).alias("w"), "c.c")
     true = read.select("doc_id", "hash", F.filter("c", lambda x: _name(F.slice("w", x["at"] + 1, x["n"])) == x["window"]).alias("c"))
     verified = true.select("doc_id", "hash", F.explode("c").alias("c")).select("doc_id", "hash", "c.window", "c.at", "c.n")
-    return rows, stage(verified, "window-places"), owners
+    verified = stage(verified, "window-places")
+    discard(own, rarity, per_doc)
+    return rows, verified, owners
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

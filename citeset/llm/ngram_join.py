@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded, lean, partitions, slices, stage
+from .common import bounded, discard, lean, partitions, slices, stage
 
 #: Shingles of a component that one task verifies.
 LARGEST = 2_000_000
@@ -478,7 +478,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     copies = rows.where("n > 0").select("key", F.col("node").alias("a")).distinct().join(classes.select("key", F.col("node").alias("b")), "key").where("a <> b").select("a", "b")
     candidates = components(ties.unionByName(copies))
     own = stage(candidates.join(classes, "node").select("node", "root", "n", "key", "first"), "candidates")
+    discard(met)
     links = verified_links(texts, own, k, t)
+    discard(own)
     if light:
         links = links.unionByName(light_links(classes, t, light))
     roots = components(links)

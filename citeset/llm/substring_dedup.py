@@ -280,14 +280,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     around = one_text(alive.drop("doc_id"))
     contexts = around.select("key", "text", "found").mapInArrow(_contexts(length, True), "hash long, anchor long, digest long, n long, left binary, right binary")
     contexts = contexts.groupBy(*NAME).agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    parts, alike = split_groups(stage(contexts, "contexts"), reach)
+    contexts = stage(contexts, "contexts")
+    parts, alike = split_groups(contexts, reach)
     cover = parts.repartition(partitions(spark), *GROUP).sortWithinPartitions(*GROUP).mapInArrow(_cover(length), "hash long, anchor long, digest long, l long, r long")
     if alike is not None:
         cover = cover.unionByName(alike.select(*NAME, (F.lit(reach) - F.col("low")).cast("long").alias("l"), F.col("low").cast("long").alias("r")))
     cover = stage(cover.groupBy(*NAME).agg(F.max("l").alias("l"), F.max("r").alias("r")), "cover")
+    discard(contexts)
     places = around.select("key", "text", "found").mapInArrow(_contexts(length, False), "hash long, anchor long, digest long, key binary, pos long")
     spans = places.join(cover, list(NAME)).select("key", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + K + F.col("r")).alias("end"))
     spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
+    discard(cover)
     return rows, spans, one_text(spans)
 
 
