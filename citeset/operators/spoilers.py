@@ -43,18 +43,15 @@ def annotate_spoilers(contexts: DataFrame, sources: DataFrame, key: tuple[str, .
     """Add ``citation_spoiler, citation_spoiler_reasons, author_spoiling, explicit_spoiler,
     positive_author_metadata_complete``.
 
-    The query is checked against the authors of its own positives only: hits are exploded, joined on
-    (article, id) and folded back, so that the article's other references don't matter.
+    The query is checked against the authors of its own positives only: hits are exploded without their texts, joined on
+    (article, id) and folded back to the names of each query, so that the article's other references don't matter.
     """
-    hits = contexts.select(*key, query, F.explode("hits").alias("pmid"))
-    if "source_pmcid" not in key:
-        hits = contexts.select(*key, "source_pmcid", query, F.explode("hits").alias("pmid"))
+    hits = contexts.select(*dict.fromkeys((*key, "source_pmcid")), F.explode("hits").alias("pmid"))
     joined = hits.join(positive_surnames(sources), ["source_pmcid", "pmid"], "left")
     known = F.coalesce(F.size("surnames") > 0, F.lit(False))
-    named = F.coalesce(_names_any(F.col(query), F.col("surnames")), F.lit(False))
-    found = joined.groupBy(*key).agg(F.bool_or(named).alias("_named"), F.bool_and(known).alias("_known"))
+    found = joined.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("surnames"))).alias("_names"), F.bool_and(known).alias("_known"))
     out = contexts.join(found, list(key), "left")
-    author = F.coalesce("_named", F.lit(False)) & F.col(query).isNotNull()
+    author = F.coalesce(_names_any(F.col(query), F.col("_names")), F.lit(False)) & F.col(query).isNotNull()
     reasons = F.concat(F.when(author, F.array(F.lit("positive_author"))).otherwise(F.array().cast("array<string>")), residual_reasons(F.col(query)))
     return (
         out.withColumn("author_spoiling", author)
@@ -62,7 +59,7 @@ def annotate_spoilers(contexts: DataFrame, sources: DataFrame, key: tuple[str, .
         .withColumn("citation_spoiler", F.size("citation_spoiler_reasons") > 0)
         .withColumn("explicit_spoiler", F.col("citation_spoiler"))
         .withColumn("positive_author_metadata_complete", F.coalesce("_known", F.lit(False)) & F.col("source_pmcid").isNotNull())
-        .drop("_named", "_known")
+        .drop("_names", "_known")
     )
 
 
