@@ -99,10 +99,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col:
     candidates = places.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("n_words"))).select("doc_id", "hash", F.struct("window", "at", "n").alias("c"))
     # At most one candidate a word and window with that prefix: the array is in proportion to the text.
     per_doc = stage(candidates.groupBy("doc_id", "hash").agg(F.collect_set("c").alias("c")), "window-candidates")
-    # As many partitions as usual whatever the bytes, since the work is in words; one of equal texts is read.
-    some = whole.alias("w").join(bounded(per_doc.select("doc_id", "hash")).alias("k"), _same("w", "k"), "left_semi").repartition(partitions(docs.sparkSession), "doc_id", "hash").dropDuplicates(["doc_id", "hash"])
-    read = some.alias("t").join(per_doc.alias("c"), _same("t", "c")).select("t.doc_id", "t.hash", words(F.col("t.text")).alias("w"), "c.c")
-    true = read.select("doc_id", "hash", F.filter("c", lambda x: _name(F.slice("w", x["at"] + 1, x["n"])) == x["window"]).alias("c"))
+    some = whole.alias("w").join(bounded(per_doc.select("doc_id", "hash")).alias("k"), _same("w", "k"), "left_semi").dropDuplicates(["doc_id", "hash"])
+    # As many partitions as usual whatever the bytes, since the work is in words.
+    met = some.alias("t").join(per_doc.alias("c"), _same("t", "c")).select("t.doc_id", "t.hash", "t.text", "c.c").repartition(partitions(docs.sparkSession))
+    # A lambda's argument is made once; a column of words would be made again for every candidate, as the optimizer inlines it.
+    true_ones = lambda w: F.filter("c", lambda x: _name(F.slice(w, x["at"] + 1, x["n"])) == x["window"])
+    true = met.select("doc_id", "hash", F.get(F.transform(F.array(words(F.col("text"))), true_ones), F.lit(0)).alias("c"))
     verified = true.select("doc_id", "hash", F.explode("c").alias("c")).select("doc_id", "hash", "c.window", "c.at", "c.n")
     verified = stage(verified, "window-places")
     discard(own, rarity, per_doc)
