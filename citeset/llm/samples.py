@@ -51,7 +51,7 @@ def hash32(token: str) -> int:
 class Words(Memory):
     """Remembers a value per distinct word; starts anew beyond ``limit`` words."""
 
-    def __init__(self, make: Callable[[str], object], limit: int = 300_000):
+    def __init__(self, make: Callable[[str], object], limit: int = 150_000):
         super().__init__()
         self._make, self._limit, self._known = make, limit, {}
 

@@ -28,17 +28,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Memory
+from .common import Memory, trim
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: A worker remembers the pieces of its latest texts, and others up to this many.
-MEMORY_PIECES = 600_000
+MEMORY_PIECES = 400_000
 #: New pieces encoded at once.
 TOGETHER = 4096
 #: Bytes of text that operators give to an encoder at a time.
-CHARACTERS = 3 << 20
+CHARACTERS = 2 << 20
 
 #: A space that the end or any white space follows, in RE2; the cut of such texts is left to ``re``.
 _AMBIGUOUS = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
@@ -75,6 +75,7 @@ class PieceEncoder(Memory):
             single = ((x, self.tokenizer.encode(x, add_special_tokens=False).ids) for x in _SIGNS)
             self._sign = next(((x, ids[0]) for x, ids in single if len(ids) == 1), None)
         self.clear()
+        trim()  # the file's text was many times the size of what is kept
 
     def clear(self) -> None:
         self._names, self._flat, self._sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
