@@ -44,8 +44,8 @@ def words(text: Column) -> Column:
 
 
 def _shingle(w: Column, at: Column, n: int) -> Column:
-    """Hash of the n words from 0-based position ``at``."""
-    return F.xxhash64(*[F.get(w, at + k) for k in range(n)])
+    """Hash of the n words from 0-based position ``at``, and of n."""
+    return F.xxhash64(F.lit(n), *[F.get(w, at + k) for k in range(n)])
 
 
 def _name(w: Column) -> Column:
@@ -83,19 +83,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col:
     own = wins.select("window", "n", F.col("words").alias("w"), F.least("n", F.lit(SHINGLE)).alias("own"))
     own = own.select("window", "n", "own", F.explode(F.concat(F.array().cast(kind), *map(spots, lengths))).alias("s")).where("s.k = own").select("window", "n", "s.k", "s.spot", "s.shingle")
     own = stage(own, "window-shingles")
-    # The row (0, 0) stands for every document: its spot is the number of words.
-    none = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("shingle"))
-    wanted = stage(own.select("k", "shingle").distinct().unionByName(docs.sparkSession.range(1).select(none.alias("x")).select("x.*")), "wanted-shingles")
+    # The shingle 0 of no words stands for every document: its spot is the number of words.
+    wanted = stage(own.select("shingle").unionByName(docs.sparkSession.range(1).select(F.col("id").alias("shingle"))).distinct(), "wanted-shingles")
     every = F.array(F.struct(F.lit(0).alias("k"), F.size("w").alias("spot"), F.lit(0).cast("long").alias("shingle")))
     exploded = texts.select("doc_id", "hash", F.size("w").alias("n_words"), F.explode(F.concat(every, *map(spots, lengths))).alias("s"))
-    seen = stage(exploded.select("doc_id", "hash", "n_words", "s.k", "s.spot", "s.shingle").join(bounded(wanted), ["k", "shingle"], "left_semi"), "shingle-places")
+    seen = stage(exploded.select("doc_id", "hash", "n_words", "s.k", "s.spot", "s.shingle").join(bounded(wanted), "shingle", "left_semi"), "shingle-places")
     rows, found = seen.where("k = 0").select("doc_id", "hash", "n_words"), seen.where("k > 0")
-    rarity = stage(found.groupBy("k", "shingle").agg(F.count("*").alias("seen")), "shingle-counts")
-    ranked = own.join(rarity, ["k", "shingle"], "left").groupBy("window").agg(
-        F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "spot", "k", "n")).alias("rare")
+    rarity = stage(found.groupBy("shingle").agg(F.count("*").alias("seen")), "shingle-counts")
+    ranked = own.join(rarity, "shingle", "left").groupBy("window").agg(
+        F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "spot", "n")).alias("rare")
     )
-    prefix = ranked.where(F.col("rare.seen") > 0).select("window", "rare.k", "rare.shingle", F.col("rare.spot").alias("lead"), "rare.n")
-    places = found.join(bounded(stage(prefix, "window-prefixes")), ["k", "shingle"]).withColumn("at", F.col("spot") - F.col("lead"))
+    prefix = ranked.where(F.col("rare.seen") > 0).select("window", "rare.shingle", F.col("rare.spot").alias("lead"), "rare.n")
+    places = found.join(bounded(stage(prefix, "window-prefixes")), "shingle").withColumn("at", F.col("spot") - F.col("lead"))
     candidates = places.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("n_words"))).select("doc_id", "hash", F.struct("window", "at", "n").alias("c"))
     # At most one candidate a word and window with that prefix: the array is in proportion to the text.
     per_doc = stage(candidates.groupBy("doc_id", "hash").agg(F.collect_set("c").alias("c")), "window-candidates")
