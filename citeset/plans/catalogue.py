@@ -379,4 +379,4 @@ def materialise_union(s, d):
     return materialise(shards, c.where("c_custkey % 4 <> 3").select("c_custkey"), "c_custkey")
 
 
-from . import python_queries  # noqa: E402, F401
+from . import article_queries, python_queries  # noqa: E402, F401

@@ -36,7 +36,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_sentences(sentences: DataFrame, path: str) -> None:
     """Text lines in a folder per article."""
-    sentence_lines(sentences.orderBy("pmcid", "section_index", "paragraph_index", "sentence_index")).write.mode("overwrite").partitionBy("pmcid").text(path)
+    place = ("pmcid", "section_index", "paragraph_index", "sentence_index")
+    sentence_lines(sentences.repartition("pmcid").sortWithinPartitions(*place)).write.mode("overwrite").partitionBy("pmcid").text(path)
 
 
 def write_authors(payload: DataFrame, path: str, kind: str = "json") -> None:
