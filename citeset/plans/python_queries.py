@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import parse_hits
 from ..jats.sentences import split
 from ..operators.filters import coreferent_keys
 from ..sources import articles, biblio
 from . import views
-from .catalogue import query
+from .catalogue import _phrases, query
 from .views import t
 
 
@@ -86,7 +87,8 @@ class _Rule:
             yield self.Doc([[(0, max(1, x.find(" "))), (border + 2, border + 2 + len(word))]])
 
 
-@query()
+@query(rf"""SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+    WHERE before IS NOT NULL AND regexp_matches(lower(split_part(text, ' ', 1)), '^\s*(?:{_phrases(fixed.ANAPHORIC_STARTS)})(?:$|[ ,:;])')""")
 def coref_filter(s, d):
     """Turns of conversations that refer back to the turn before."""
     from pyspark.sql import Window
