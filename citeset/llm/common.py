@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import ClassVar
 from urllib.parse import urlparse
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..staging import bounded, discard, new_path, shared_dir, stage
 
-__all__ = ["Memory", "RangeReader", "bounded", "discard", "lean", "new_path", "partitions", "shared_dir", "slices", "stage", "table", "trim", "write_file"]
+__all__ = ["Memory", "RangeReader", "bounded", "discard", "lean", "new_path", "partitions", "shared_dir", "slices", "stage", "table", "trim", "trimmed", "write_file"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +25,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the named text column holds about ``limit`` characters a piece; single rows stay whole."""
     import pyarrow.compute as pc
 
@@ -67,19 +67,27 @@ class Memory:
 
 
 def trim() -> None:
-    """Return free memory of this process to the system."""
-    pa.default_memory_pool().release_unused()
+    """Return free memory of this process to the system; arrays come from the same place as everything else."""
+    pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(AttributeError, OSError):  # only some C libraries can
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches of a task; memory that one has freed is returned before the next comes."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 def lean(run: Callable) -> Callable:
     """``run`` for ``mapInArrow`` that begins without what earlier operators remember in this worker, and leaves nothing behind."""
 
     def wrapped(batches):
         Memory._clear_but(None)
         try:
-            yield from run(batches)
+            yield from run(trimmed(batches))
         finally:
             trim()
 

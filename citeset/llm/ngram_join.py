@@ -246,7 +246,7 @@ def frequent_shingles(texts: DataFrame, k: int) -> Frequent:
 def _scan(k: int, t: Threshold, buckets: int, shared):
     """Rows for documents, for ties within a block of texts, and for what each bucket of signatures gets of the block."""
     most = t.most()
-    types = {"n": pa.int64(), "key": pa.binary(), "node": pa.int64(), "small": pa.binary(), "a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "bucket": pa.int32(), "base": pa.int64(), "entries": pa.binary()}
+    types = {"hash": pa.int64(), "n": pa.int64(), "key": pa.binary(), "node": pa.int64(), "small": pa.binary(), "a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "bucket": pa.int32(), "base": pa.int64(), "entries": pa.binary()}
 
     def run(batches):
         base = TaskContext.get().partitionId() << 33
@@ -265,7 +265,7 @@ def _scan(k: int, t: Threshold, buckets: int, shared):
                 local = [place.setdefault(x, len(place)) for x in keys]
                 one = [sets[i] for i in np.unique(local, return_index=True)[1]]
                 small = [s.astype("<u8").tobytes() if 0 < len(s) <= most else None for s in sets]
-                yield rows(doc_id=part.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), key=pa.array(keys, pa.binary()), node=pa.array(base + np.array(local, np.int64)), small=pa.array(small, pa.binary()))
+                yield rows(doc_id=part.column("doc_id"), hash=part.column("hash"), n=pa.array([len(s) for s in sets], pa.int64()), key=pa.array(keys, pa.binary()), node=pa.array(base + np.array(local, np.int64)), small=pa.array(small, pa.binary()))
                 name, who = signatures(one, t, shared.value)
                 if len(name):
                     n = np.minimum([len(s) for s in one], 255)
@@ -416,28 +416,29 @@ def _verify(k: int, t: Threshold):
 def verified_links(texts: DataFrame, own: DataFrame, k: int, t: Threshold) -> DataFrame:
     """True links ``(a, b)`` that connect every true component within the candidate components.
 
-    ``own`` has a row ``node, root, n, key, first`` for each set, ``first`` being an id whose text has that set.
+    ``own`` has a row ``node, root, n, key, one`` for each set, ``one`` being the id and hash of a text that has it.
     """
     spark = texts.sparkSession
 
     def compare(tasks: DataFrame, name: str) -> DataFrame:
-        """``tasks`` has a row ``root, block, node, key, first`` for each set that a block holds."""
-        asked = tasks.alias("i")
-        found = texts.alias("d").join(bounded(asked), F.col("d.doc_id").eqNullSafe(F.col("i.first"))).select("root", "block", "node", "key", "text")
+        """``tasks`` has a row ``root, block, node, key, one`` for each set that a block holds."""
+        # The hash keeps the texts apart that share an id, or have none.
+        same = (F.col("d.hash") == F.col("i.one.hash")) & F.col("d.doc_id").eqNullSafe(F.col("i.one.doc_id"))
+        found = texts.alias("d").join(bounded(tasks).alias("i"), same).select("root", "block", "node", "key", "text")
         return stage(found.repartition(partitions(spark), "root", "block").sortWithinPartitions("root", "block", "node").mapInArrow(_verify(k, t), "a long, b long"), name)
 
     weight = stage(own.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1"), "component-sizes")
     sized = own.join(weight.select("root", F.ceil(F.col("total") / LARGEST).alias("blocks")), "root")
-    links = compare(sized.where("blocks = 1").select("root", F.lit(0).cast("long").alias("block"), "node", "key", "first"), "verified")
-    large = stage(sized.where("blocks > 1").select("root", "node", "n", "key", "first", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "large-components")
+    links = compare(sized.where("blocks = 1").select("root", F.lit(0).cast("long").alias("block"), "node", "key", "one"), "verified")
+    large = stage(sized.where("blocks > 1").select("root", "node", "n", "key", "one", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "large-components")
     left, turn = large, 0  # sets that are to be pivots
     while not left.isEmpty():
         # A share of the sets that is left, chosen by hash, of about LARGEST shingles in each component.
         share = stage(left.groupBy("root").agg((F.lit(LARGEST) / F.sum("n")).alias("share")), "pivot-shares")
         picked = (F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).alias("picked")
         chosen = stage(left.join(share, "root").where(picked), "pivots")
-        copies = chosen.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "key", "first")
-        tasks = copies.unionByName(large.select("root", "block", "node", "key", "first")).distinct()
+        copies = chosen.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "key", "one")
+        tasks = copies.unionByName(large.select("root", "block", "node", "key", "one")).distinct()
         links = stage(links.unionByName(compare(tasks, "verified-block")), "links")
         clusters = _clusters(large, links)
         main = clusters.groupBy("root", "cluster").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("main"))
@@ -457,17 +458,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """Per row: ``doc_id, n_shingles, component_id, class_id`` (the class: rows with equal sets)."""
     spark, t = docs.sparkSession, Threshold(num, den)
     kind, most = docs.schema[id_col].dataType.simpleString(), t.most()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ddl = f"doc_id {kind}, n long, key binary, node long, small binary, a long, b long, na long, nb long, bucket int, base long, entries binary"
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    ddl = f"doc_id {kind}, hash long, n long, key binary, node long, small binary, a long, b long, na long, nb long, bucket int, base long, entries binary"
     shared = spark.sparkContext.broadcast(frequent_shingles(texts, k))  # at most MOST_FREQUENT rows of 16 bytes
     scanned = stage(texts.mapInArrow(_scan(k, t, BUCKETS * partitions(spark), shared), ddl), "sets")
-    rows = scanned.where("key IS NOT NULL").select("doc_id", "n", "key", "node", "small")
+    rows = scanned.where("key IS NOT NULL").select("doc_id", "hash", "n", "key", "node", "small")
     blocks = scanned.where("bucket IS NOT NULL").select("bucket", "base", "entries")
     met = blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(most), "a long, b long, na long, nb long")
     met = stage(met, "ties")
 
     # Equal sets of several blocks of texts are one class; its node is the smallest.
-    grouped = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("small").alias("small"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("one")
+    grouped = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), one, F.min("node").alias("node"), F.first("n").alias("n"), F.first("small").alias("small"))
     classes = stage(grouped, "classes")
     counts = {x["n"]: x["count"] for x in classes.where(F.col("n") <= most).groupBy("n").count().collect()}  # at most ``most`` rows
     lengths = {x["na"]: x["cost"] for x in met.where("a IS NULL").groupBy("na").agg(F.sum("nb").alias("cost")).collect()}  # the same
@@ -477,7 +479,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     ties = met.unionByName(scanned.select("a", "b", "na", "nb")).where((F.col("a") != F.col("b")) & (F.col("nb") > light)).select("a", "b")
     copies = rows.where("n > 0").select("key", F.col("node").alias("a")).distinct().join(classes.select("key", F.col("node").alias("b")), "key").where("a <> b").select("a", "b")
     candidates = components(ties.unionByName(copies))
-    own = stage(candidates.join(classes, "node").select("node", "root", "n", "key", "first"), "candidates")
+    own = stage(candidates.join(classes, "node").select("node", "root", "n", "key", "one"), "candidates")
     discard(met)
     links = verified_links(texts, own, k, t)
     discard(own)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, slices, stage
+from .common import lean, slices, stage, trimmed
 from .tokens import CHARACTERS, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
@@ -39,7 +39,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "
 
     def run(batches):
         enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in trimmed(batches):
             for part in slices(batch, "text", CHARACTERS):
                 ids, at = enc.flat(part.column("text"))
                 raw = memoryview(np.insert(ids, at[1:], end_id)).cast("B")

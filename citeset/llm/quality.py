@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trimmed
 from .samples import Words, fold, hash32, labelled, parts
 
 BITS = 18
@@ -103,7 +103,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False, name: s
 
     def run(batches):
         w = shared.value
-        for batch in batches:
+        for batch in trimmed(batches):
             for part in slices(batch, "text"):
                 flat, at = features([x or "" for x in part.column("text").to_pylist()])
                 total = np.concatenate([[0.0], np.cumsum(w[flat], dtype=np.float64)])

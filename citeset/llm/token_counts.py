@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, stage
+from .common import bounded, slices, stage, trimmed
 from .tokens import CHARACTERS, encoder
 
 CACHE = "text_digest binary, n_tokens long, tokenizer_digest string"
@@ -39,7 +39,7 @@ def tokenizer_digest(path: str) -> str:
 def _count(tokenizer: str):
     def run(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in trimmed(batches):
             for piece in slices(batch, "text", CHARACTERS):
                 yield pa.RecordBatch.from_arrays([piece.column("text_digest"), pa.array(enc.counts(piece.column("text")), pa.int64())], names=["text_digest", "n_tokens"])
 

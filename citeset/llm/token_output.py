@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import lean, new_path, partitions, slices, stage, write_file
+from .common import lean, new_path, partitions, slices, stage, trimmed, write_file
 from .tokens import CHARACTERS, encoder
 
 FILE_TOKENS = 4_000_000
@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
             return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": path, "n_docs": len(keys), "n_tokens": len(tokens)}], schema=SCHEMA)
 
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in trimmed(batches):
             for piece in slices(batch, "text", CHARACTERS):
                 ids, at = enc.flat(piece.column("text"))
                 held.append(np.insert(ids, at[1:], end_id))

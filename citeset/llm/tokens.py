@@ -34,7 +34,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: A worker remembers the pieces of its latest texts, and others up to this many.
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 200_000
 #: New pieces encoded at once.
 TOGETHER = 4096
 #: Bytes of text that operators give to an encoder at a time.
