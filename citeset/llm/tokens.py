@@ -44,6 +44,8 @@ CHARACTERS = 2 << 20
 _AMBIGUOUS = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _SIGNS = "½²३¼"
+#: A piece that ends with marks after a letter that is lowered to one letter.
+_TAIL = r"(?s)^(?P<head>.*[a-zA-ZÀ-ÖØ-öø-ÿ])(?P<tail>[,.!?;:|*$%&#]+)$"
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -153,6 +155,26 @@ class PieceEncoder(Memory):
         return np.fromiter((x for own in ids for x in own), np.uint32), np.array([len(x) for x in ids], np.int64)
 
     def _learn(self, missing: pa.Array) -> None:
+        if self.kind != "spaces dropped":
+            self._learn_whole(missing)
+            return
+        # A pre-token ends between a letter and these marks, and ASCII letters may be lowered beforehand: fewer different pieces are encoded.
+        cut = pc.extract_regex(missing, _TAIL)
+        head, tail = pc.coalesce(pc.struct_field(cut, "head"), missing), pc.fill_null(pc.struct_field(cut, "tail"), "")
+        head = pc.if_else(pc.and_(pc.string_is_ascii(head), pc.invert(pc.match_substring(head, "<"))), pc.ascii_lower(head), head)
+        parts = pa.concat_arrays([head, tail]).unique()
+        new = parts.filter(pc.index_in(parts, value_set=self._names).is_null())
+        if len(new):
+            self._learn_whole(new)
+        made = pc.index_in(missing, value_set=self._names).is_null()
+        pair = [pc.index_in(x.filter(made), value_set=self._names).to_numpy() for x in (head, tail)]
+        both = np.stack(pair, axis=1).reshape(-1)  # head and tail of each in turn
+        starts = np.cumsum(self._sizes) - self._sizes
+        ids = self._flat[_runs(starts[both], self._sizes[both])]
+        self._names = pa.concat_arrays([self._names, missing.filter(made)])
+        self._flat, self._sizes = np.concatenate([self._flat, ids]), np.concatenate([self._sizes, self._sizes[pair[0]] + self._sizes[pair[1]]])
+
+    def _learn_whole(self, missing: pa.Array) -> None:
         avoid = {"spaces kept": " ", "spaces dropped": self._sign and self._sign[0]}.get(self.kind)
         empty = pc.equal(missing, "")
         alone = pc.or_(empty, pc.match_substring(missing, avoid)) if avoid else pa.array([True] * len(missing))
