@@ -38,7 +38,7 @@ MEMORY_PIECES = 200_000
 #: New pieces encoded at once.
 TOGETHER = 4096
 #: Bytes of text that operators give to an encoder at a time.
-CHARACTERS = 2 << 20
+CHARACTERS = 5 << 20
 
 #: A space that the end or any white space follows, in RE2; the cut of such texts is left to ``re``.
 _AMBIGUOUS = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
