@@ -13,7 +13,8 @@ linked when the intersection is at least ``num / den`` of the union.
   may be empty (it is mostly made of frequent shingles) enters, besides, the lists of its rarest shingles, as many as
   its necessary prefix in rarity order. Members of a list are tied to
   its largest set; the components of these ties contain every link of a heavy set. Within each, the inverted lists
-  of single shingles are scanned with counts: a set is compared only with sets that nothing reached before.
+  of single shingles are scanned with counts: a set is compared only with sets that nothing reached before and that share
+  one of its rarest shingles, by the counts in the component.
 * The boundary minimises the cost of both ways, from the subsets of light sets and the lengths that
   their lists have. It is at most ``most(t)``, up to where a set has no more subsets than twice its shingles.
 
@@ -22,7 +23,8 @@ sets. Those are taken that blocks of texts hold in several sets; a shingle need
 root of the number of blocks to be found.
 
 A list never yields its pairs. Equal signatures of a block of texts meet before they are shuffled, so a
-list that a third of all sets share has one entry per block. Components beyond ``LARGEST`` shingles are
+list that a third of all sets share has one entry per block. Components beyond ``LARGEST`` shingles are first
+parted anew by lists of single shingles, rarest first by counts in these components, and by narrow bands of sizes. Those still beyond it are
 verified in several tasks: blocks of their sets, each with some pivots, until all sets outside the component's
 largest cluster have been pivots (one or two rounds for a group of near copies).
 
@@ -35,6 +37,7 @@ empty result. Only id and text are read, so other columns may have any names.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 
@@ -349,37 +352,63 @@ def light_links(classes: DataFrame, t: Threshold, light: int) -> DataFrame:
 
 
 def _members(sets: list[np.ndarray], t: Threshold) -> list[int]:
-    """For sets of one candidate component, the first set of each set's true component."""
+    """For sets of one candidate component, the first set of each set's true component.
+
+    A set is compared only with sets that nothing reached before and that share one of its rarest shingles: in the order of
+    (count in the component, hash), the first shingle that linked sets share lies so early in both that as many as they must share are left.
+    """
     size = np.array([len(s) for s in sets])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(seen), np.int64)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
+    flat = rank[code]
+    flat = flat[np.lexsort((flat, owner))]  # each set from rare to frequent
+    seen = np.sort(seen)
+    place = np.arange(len(flat)) - edge[owner]
+    early = np.array([t.prefix(int(n)) for n in size])
+    held = np.flatnonzero((place < early[owner]) & (seen[flat] > 1))
+    held = held[np.argsort(flat[held], kind="stable")]  # the inverted lists, one after another
+    names, members, places = flat[held], owner[held], place[held]
     root = np.full(len(sets), -1)
-    left = np.arange(len(sets))
+    inside = np.zeros(len(seen), bool)
     queue: list[int] = []
-    current = built = -1
+    current, start, wasted = -1, 0, 0
     while True:
         if not queue:
-            left = left[root[left] < 0]
-            if not len(left):
+            while start < len(sets) and root[start] >= 0:
+                start += 1
+            if start == len(sets):
                 return root.tolist()
-            current = int(left[0])
+            current = start
             root[current] = current
             queue.append(current)
         x = queue.pop()
-        left = left[root[left] < 0]
-        if not len(left):
+        if wasted > len(names):  # leave out sets that were reached
+            alive = root[members] < 0
+            names, members, places, wasted = names[alive], members[alive], places[alive], 0
+        own = flat[edge[x] : edge[x + 1]]
+        begin = np.searchsorted(names, own[: early[x]], "left")
+        n = np.searchsorted(names, own[: early[x]], "right") - begin
+        if not n.any():
             continue
-        if built < 0 or len(left) < built // 2:
-            built = len(left)
-            flat = np.concatenate([sets[i] for i in left])
-            owner = np.repeat(left, size[left])
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-        begin, end = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
-        n = end - begin
-        hits = owner[np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        inter = np.bincount(hits, minlength=len(sets))[left]
-        linked = left[t.den * inter >= t.num * (size[left] + size[x] - inter)]
-        root[linked] = current
-        queue.extend(linked.tolist())
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        y, here = members[at], np.repeat(np.arange(len(n)), n)
+        shared = -(-t.num * (size[y] + size[x]) // (t.num + t.den))
+        use = root[y] < 0
+        wasted += len(y) - int(use.sum())
+        use &= (size[x] - here >= shared) & (size[y] - places[at] >= shared)
+        near = np.unique(y[use])
+        inside[own] = True
+        for some in np.array_split(near, 1 + int(size[near].sum()) // LARGEST):
+            if len(some):
+                first = np.concatenate([[0], np.cumsum(size[some])])
+                inter = np.add.reduceat(inside[flat[np.repeat(edge[some] - first[:-1], size[some]) + np.arange(first[-1])]].astype(np.int64), first[:-1])
+                linked = some[t.den * inter >= t.num * (size[some] + size[x] - inter)]
+                root[linked] = current
+                queue.extend(linked.tolist())
+        inside[own] = False
 
 
 def _verify(k: int, t: Threshold):
@@ -413,6 +442,47 @@ def _verify(k: int, t: Threshold):
     return lean(run)
 
 
+def _fine_lists(k: int, t: Threshold, shared):
+    """Names of the lists that sets of large components enter: one of their rarest shingles, and narrow bands of their own and the partner's size."""
+
+    def run(batches):
+        starts, frequent = [1], shared.value
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK):
+                names, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for root, node, key, s in zip(*(part.column(x).to_pylist() for x in ("root", "node", "key")), shingle_sets(part.column("text"), k), strict=True):
+                    if xxhash.xxh3_128_digest(s.tobytes()) != key:
+                        continue
+                    n, sizes = len(s), t.partners(len(s))
+                    while starts[-1] <= sizes[-1]:
+                        starts.append(max(starts[-1] + 1, starts[-1] * 21 // 20))
+                    own, low, high = (bisect.bisect_right(starts, x) - 1 for x in (n, sizes[0], sizes[-1]))
+                    rare = frequent.prefix(s, t.prefix(n))
+                    for band in range(low, high + 1):
+                        least = t.shared(n, max(starts[band], sizes[0]))  # with any partner of this band
+                        tag = xxhash.xxh3_64_intdigest(f"{root} {min(own, band)} {max(own, band)}")
+                        names.append(_mix(rare[: n - least + 1] * _A + np.uint64(tag)))
+                        nodes.append(np.full(n - least + 1, node))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(nodes))], names=["list", "node"])
+
+    return lean(run)
+
+
+def refined(found: DataFrame, sets: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """``sets`` with the roots of finer candidate components; those that can have no link are left out.
+
+    ``found`` has ``root, node, key, text`` of the sets. Frequent shingles are counted among these texts alone. Of a linked pair, the first
+    shingle in common by rarity lies so early in both sets that both enter its list.
+    """
+    shared = found.sparkSession.sparkContext.broadcast(frequent_shingles(found, k))  # at most MOST_FREQUENT rows of 16 bytes
+    lists = stage(found.mapInArrow(_fine_lists(k, t, shared), "list long, node long"), "fine-lists")
+    top = stage(lists.groupBy("list").agg(F.max("node").alias("top"), F.min("node").alias("least")).where("top <> least").select("list", "top"), "fine-list-tops")
+    roots = components(lists.join(top, "list").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
+    out = stage(sets.drop("root").join(roots, "node").select(*sets.columns), "fine-candidates")
+    discard(lists, top)
+    return out
+
+
 def verified_links(texts: DataFrame, own: DataFrame, k: int, t: Threshold) -> DataFrame:
     """True links ``(a, b)`` that connect every true component within the candidate components.
 
@@ -420,17 +490,35 @@ def verified_links(texts: DataFrame, own: DataFrame, k: int, t: Threshold) -> Da
     """
     spark = texts.sparkSession
 
-    def compare(tasks: DataFrame, name: str) -> DataFrame:
+    def texts_of(tasks: DataFrame) -> DataFrame:
         """``tasks`` has a row ``root, block, node, key, one`` for each set that a block holds."""
         # The hash keeps the texts apart that share an id, or have none.
         same = (F.col("d.hash") == F.col("i.one.hash")) & F.col("d.doc_id").eqNullSafe(F.col("i.one.doc_id"))
-        found = texts.alias("d").join(bounded(tasks).alias("i"), same).select("root", "block", "node", "key", "text")
+        return texts.alias("d").join(bounded(tasks).alias("i"), same).select("root", "block", "node", "key", "text")
+
+    def compare(tasks: DataFrame, name: str) -> DataFrame:
+        found = texts_of(tasks)
         return stage(found.repartition(partitions(spark), "root", "block").sortWithinPartitions("root", "block", "node").mapInArrow(_verify(k, t), "a long, b long"), name)
 
-    weight = stage(own.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1"), "component-sizes")
-    sized = own.join(weight.select("root", F.ceil(F.col("total") / LARGEST).alias("blocks")), "root")
-    links = compare(sized.where("blocks = 1").select("root", F.lit(0).cast("long").alias("block"), "node", "key", "one"), "verified")
-    large = stage(sized.where("blocks > 1").select("root", "node", "n", "key", "one", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "large-components")
+    def sized(sets: DataFrame) -> DataFrame:
+        """With the number of blocks that a component needs."""
+        weight = stage(sets.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1"), "component-sizes")
+        return sets.join(weight.select("root", F.ceil(F.col("total") / LARGEST).alias("blocks")), "root")
+
+    whole = F.lit(0).cast("long").alias("block")
+    coarse = sized(own)
+    single = coarse.where("blocks = 1").select("root", whole, "node", "key", "one")
+    large = stage(coarse.where("blocks > 1").select(*own.columns), "large-candidates")
+    if not large.isEmpty():
+        found = stage(texts_of(large.select("root", whole, "node", "key", "one")).drop("block"), "large-texts")
+        fine = sized(refined(found, large, k, t))
+        discard(found)
+        single = stage(single.unionByName(fine.where("blocks = 1").select("root", whole, "node", "key", "one")), "single-blocks")
+        large = fine.where("blocks > 1")
+    else:
+        large = coarse.where("blocks > 1")
+    links = compare(single, "verified")
+    large = stage(large.select("root", "node", "n", "key", "one", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "large-components")
     left, turn = large, 0  # sets that are to be pivots
     while not left.isEmpty():
         # A share of the sets that is left, chosen by hash, of about LARGEST shingles in each component.

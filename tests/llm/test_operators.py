@@ -1,6 +1,7 @@
 """The operators on small tables with hard cases, against brute force; the queries against their SQL."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -160,6 +161,26 @@ def test_jaccard(docs, rows, none, monkeypatch, k, num, largest):
         assert ngram_join.jaccard_components(none, k, num, 100).count() == 0
 
 
+def test_large_candidate_components_are_parted(spark, monkeypatch):
+    """Half of a group are copies of one text, the others too far from all."""
+    r, staged, write = random.Random(4), [], ngram_join.stage
+    monkeypatch.setattr(ngram_join, "LARGEST", 3000)
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: staged.append(name) or write(df, name))
+    base, texts = [f"w{r.randrange(900)}" for _ in range(200)], []
+    for i in range(200):
+        texts.append(" ".join(f"w{r.randrange(900)}" if r.random() < (0.008, 0.05)[i % 2] else w for w in base))
+    sets = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (t.split() for t in texts)]
+    want = list(range(200))
+    for _ in range(4):
+        for i, j in itertools.combinations(range(200), 2):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                want[i] = want[j] = min(want[i], want[j])
+    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 5, 80, 100).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(want))
+    assert len(set(want)) > 80
+    assert "fine-candidates" in staged
+
+
 def test_contamination(spark, docs, none):
     text = {x["doc_id"]: x["text"] for x in docs.collect()}
     long = text[5].split()

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -179,6 +180,19 @@ def test_members_equal_brute_force():
         assert ngram_join._members([np.array(sorted(s), np.uint64) for s in sets], t) == root
 
 
+def test_members_of_a_large_group_are_few_comparisons():
+    """Half of a group are too far from all others: they share frequent shingles only, and aren't compared with the whole group."""
+    r, base, sets = np.random.default_rng(1), np.arange(400), []
+    for i in range(2500):
+        x, k = base.copy(), r.random(400) < (0.01, 0.3)[i % 2]
+        x[k] = r.integers(1000, 10**9, k.sum())
+        sets.append(np.unique(x).astype(np.uint64))
+    began = time.process_time()
+    root = np.array(ngram_join._members(sets, ngram_join.Threshold(80, 100)))
+    assert time.process_time() - began < 8
+    assert (root[::2] == 0).all() and (root[1::2] == np.arange(1, 2500, 2)).all()
+
+
 def test_records_round_trip():
     for args in ((5, "http://a/ü b\r\n", "é<p>".encode() * 50, "d", None, False), (None, None, b"", "d", 3, True), (7, "http://a/b%41c?x=%2520", b"x", "d", None, False, "1.0.99")):
         head, http, payload = warc.parse(warc.record(*args))
