@@ -3,9 +3,10 @@
 A word's vector is the scaled sum of hashed embeddings of the lower-case word and of its beginnings of 3 to 7
 letters, so that unseen words of a known stem have a meaning. Filters of several widths slide over the
 words, each filter's maximum over the whole text is kept, and a logistic layer gives the score. It is
-trained by Adagrad on a bounded sample of labelled rows (``rows`` of each label, of at most ``samples.LONGEST`` characters); words'
-hashes, 12 bytes a word, come to the driver. A second part of the sample calibrates a threshold per language, reported beside the score:
-a score itself never depends on the language.
+trained by Adagrad on all labelled rows and their whole texts but every fifth by hash, and those calibrate a threshold per language, reported
+beside the score: a score itself never depends on the language. Rows are dealt by hash to shards of about ``2 * rows``. One
+task trains a first model on one shard in several passes; from it every shard's task goes on over its own rows, and the mean of these models is the
+result. A task holds a shard's hashes, 12 bytes a word; only models, of fixed size, come to the driver.
 
 Null and empty texts are scored as a text of padding. With no labelled rows every score is 0.5. Null ids
 are scored and never learnt from; repeated rows get equal scores; an unknown or null language uses the
@@ -16,23 +17,28 @@ in overlapping blocks. Only id, text and language are read, so other columns may
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices
-from .samples import Words, fold, hash32, labelled, parts
+from .common import bounded, discard, lean, slices, stage
+from .samples import Words, fold, hash32, parts
 
 BITS, DIM, WIDTHS, FILTERS = 15, 12, (1, 2, 3), 8
 #: Share of the words whose own hash is left out in a training step.
 DROP = 0.4
 STEMS = (3, 4, 5, 6, 7)
 PARTS = 1 + len(STEMS)
-#: Sampled rows of each label; passes over them; least number of steps; texts a step.
+#: Half of a shard's rows; passes over the first shard; least number of steps; texts a step.
 ROWS, EPOCHS, LEAST_STEPS, BATCH = 3000, 6, 600, 32
 PAD = max(WIDTHS) - 1
+#: One of so many labelled rows calibrates thresholds and isn't trained on.
+TUNE = 5
+#: Pieces that models are summed in.
+PIECES = 8
 _NONE = 1 << BITS  # the row of the embedding that stays zero
 
 
@@ -56,6 +62,22 @@ class Model:
         self.c = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.v = r.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
         self.b = np.zeros(1, np.float32)
+        self.square = [np.full_like(a, 1e-6) for a in self.arrays()]  # of Adagrad
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.e, self.v, self.b, *self.w, *self.c]
+
+    def vector(self) -> np.ndarray:
+        """All numbers of the model and of its training."""
+        return np.concatenate([a.reshape(-1) for a in (*self.arrays(), *self.square)])
+
+    @classmethod
+    def of(cls, vector: np.ndarray) -> Model:
+        m, at = cls(), 0
+        for a in (*m.arrays(), *m.square):
+            a[...] = vector[at : at + a.size].reshape(a.shape)
+            at += a.size
+        return m
 
     def vectors(self, ids: np.ndarray) -> np.ndarray:
         """Word vectors from rows of hashes."""
@@ -94,11 +116,13 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.08) -> Model:
-    m, r = Model(), np.random.default_rng(11)
-    m.b[:] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
+def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.08, start: Model | None = None) -> Model:
+    """A new model, or one pass of ``start`` over the texts."""
+    m, r = start or Model(), np.random.default_rng(11)
+    if start is None:
+        m.b[:] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     weight = np.where(labels == 1, max(1.0, (labels == 0).sum() / max(1, labels.sum())) ** 0.5, 1.0)
-    square = {k: np.full_like(a, 1e-6) for k, a in [("e", m.e), ("v", m.v), ("b", m.b), *[(("w", i), a) for i, a in enumerate(m.w)], *[(("c", i), a) for i, a in enumerate(m.c)]]}
+    square = dict(zip(["e", "v", "b", *[("w", i) for i in range(len(WIDTHS))], *[("c", i) for i in range(len(WIDTHS))]], m.square, strict=True))
 
     def step(key, a, g, rows=None):
         s = square[key]
@@ -109,11 +133,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rat
             s[rows] += g * g
             a[rows] -= rate * g / np.sqrt(s[rows])
 
-    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(texts))))):
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(texts)))) if start is None else 1):
         order = r.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            ids, at = lay_out([texts[i] for i in own])
+            ids, at = lay_out([texts[i].astype(np.int32) for i in own])
             _, one, back = np.unique(names(ids), return_index=True, return_inverse=True)
             own_rows = ids[one]
             stemmed = (r.random(len(one)) < DROP) & (own_rows[:, 1] != _NONE)
@@ -156,29 +180,83 @@ def _rows(text: str) -> np.ndarray:
     return np.array(found, np.int32).reshape(-1, PARTS)
 
 
-def _sample(batches):
+def _hash_rows(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             raw = [_rows(x).astype("<u2").tobytes() for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("lang"), pa.array(raw, pa.binary())], names=["label", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "label", "lang")), pa.array(raw, pa.binary())], names=["key", "label", "lang", "words"])
+
+
+def _trained(start):
+    """For the rows of a shard: the model trained on them, anew or from the broadcast numbers of a model, in pieces."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        shard = rows.column("shard")[0].as_py()
+        rows = rows.sort_by([("key", "ascending"), ("words", "ascending"), ("label", "ascending")])  # one order whatever the partitions
+        texts = [np.frombuffer(x.as_py(), "<u2").reshape(-1, PARTS) for x in rows.column("words")]
+        m = train(texts, rows.column("label").to_numpy(), start=Model.of(start.value) if start else None)
+        pieces = [x.astype("<f4").tobytes() for x in np.array_split(m.vector(), PIECES)]
+        return pa.table({"piece": pa.array(range(PIECES), pa.int32()), "shard": pa.array([shard] * PIECES, pa.int64()), "numbers": pa.array(pieces, pa.binary())})
+
+    return run
+
+
+def _mean(rows: pa.Table) -> pa.Table:
+    """The mean of one piece of the models, added up in one order."""
+    rows = rows.sort_by("shard")
+    total = sum(np.frombuffer(x.as_py(), "<f4").astype(float) for x in rows.column("numbers")) / len(rows)
+    return pa.table({"piece": rows.column("piece").slice(0, 1), "numbers": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+
+def _learn(rows: DataFrame, start: np.ndarray | None = None) -> np.ndarray:
+    """The numbers of the mean of the models that the shards train."""
+    shared = None if start is None else rows.sparkSession.sparkContext.broadcast(start)  # of fixed size
+    models = rows.select("shard", "key", "label", "words").groupBy("shard").applyInArrow(_trained(shared), "piece int, shard long, numbers binary")
+    got = models.groupBy("piece").applyInArrow(_mean, "piece int, numbers binary").collect()  # PIECES rows
+    return np.concatenate([np.frombuffer(x["numbers"], "<f4") for x in sorted(got, key=lambda x: x["piece"])])
+
+
+def _limit(rows: pa.Table) -> pa.Table:
+    scores, y = rows.column("score").to_numpy(), rows.column("label").to_numpy()
+    order = np.lexsort((y, scores))
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "limit": pa.array([_threshold(scores[order], y[order])], pa.float64())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", rows: int = ROWS, lang: str | None = "lang") -> tuple[Model | None, dict[str | None, float]]:
     """The model, and thresholds by language (under None: of all)."""
-    docs = docs.withColumn("lang", F.col(lang).cast("string") if lang else F.lit(None).cast("string"))
-    got = labelled(docs, labels, label, allowed, rows, ("lang",)).select("label", "lang", "text").mapInArrow(_sample, "label int, lang string, words binary").collect()  # at most 2 * ``rows``
-    got = sorted((bytes(x["words"]), x["label"], x["lang"] or "") for x in got)  # one order whatever the partitions
-    if not got:
+    known = labels.where(allowed & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
+    known = stage(known, "toxicity-labels")
+    spoken = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang else F.lit("")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), spoken.alias("lang")).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = texts.join(bounded(known), "doc_id").select("key", "label", "lang", "text")
+    found = stage(found.mapInArrow(_hash_rows, "key long, label int, lang string, words binary"), "toxicity-words")
+    tuned = F.pmod("key", F.lit(TUNE)) == TUNE - 1
+    count = {(x["tuned"], x["label"]): x["count"] for x in found.groupBy(tuned.alias("tuned"), "label").count().collect()}  # at most 4 rows
+    if not count:
         return None, {None: 0.5}
-    y = np.array([x[1] for x in got])
-    texts = [np.frombuffer(x[0], "<u2").astype(np.int32).reshape(-1, PARTS) for x in got]
-    tune = np.arange(len(got)) % 5 == 4
-    m = train([t for t, u in zip(texts, tune, strict=True) if not u], y[~tune])
-    scores = np.array([float(_sigmoid(m.logit(pool(m, [t])))[0]) for t, u in zip(texts, tune, strict=True) if u])
-    langs = np.array([x[2] for x, u in zip(got, tune, strict=True) if u])
-    limits = {None: _threshold(scores, y[tune])}
-    for x in np.unique(langs):
-        limits[str(x)] = _threshold(scores[langs == x], y[tune][langs == x])
+    # Of few rows a whole label may be among those that calibrate; all are trained on then.
+    learnt = found if {y for _, y in count} != {y for u, y in count if not u} else found.where(~tuned)
+    shards = math.ceil(sum(n for (u, _), n in count.items() if learnt is found or not u) / (2 * rows))
+    learnt = learnt.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    first = learnt.agg(F.min("shard")).first()[0]
+    numbers = _learn(learnt.where(F.col("shard") == first))
+    if shards > 1:
+        numbers = _learn(learnt, numbers)
+    m = Model.of(numbers)
+    shared = found.sparkSession.sparkContext.broadcast(m)
+
+    def scored(batches):
+        for batch in batches:
+            for part in slices(batch, "words"):
+                held = [np.frombuffer(x, "<u2").astype(np.int32).reshape(-1, PARTS) for x in part.column("words").to_pylist()]
+                values = _sigmoid(shared.value.logit(pool(shared.value, held)).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("lang"), pa.array(values)], names=["label", "lang", "score"])
+
+    scores = stage(found.where(tuned).mapInArrow(scored, "label int, lang string, score double"), "toxicity-scores")
+    of = lambda x: x.groupBy("lang").applyInArrow(_limit, "lang string, limit double").collect()  # noqa: E731  # a row a language
+    limits = {None: next((x["limit"] for x in of(scores.withColumn("lang", F.lit("")))), 0.5)}
+    limits |= {x["lang"]: x["limit"] for x in of(scores)}
+    discard(known, found, scores)
     return m, limits
 
 

@@ -257,6 +257,29 @@ def test_classifiers(spark, docs, none):
     assert np.mean([a == b for a, b in names.values()]) > 0.9
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only a few rows have, and a text of over 50,000 characters, count whatever ``rows`` is."""
+    r = random.Random(3)
+    plain = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "stone"]) for _ in range(n))
+    texts = [(i, plain(9000 if i % 50 == 1 else 12) + (" vile" if i % 2 else ""), "en") for i in range(400)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, i % 2) for i, _, _ in texts], "doc_id long, toxic int")
+    seen = []
+    whole = toxicity._learn
+
+    def learn(rows, *start):
+        seen.append((rows.count(), rows.agg(F.max(F.length("words"))).first()[0]))
+        return whole(rows, *start)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "_learn", learn)
+        m, limits = toxicity.fit(d, lab, F.lit(True), rows=20)
+    assert len(seen) == 2 and 280 < seen[1][0] < 360 and seen[1][1] > 9000 * 12
+    assert set(limits) == {None, "en"}
+    got = toxicity.score(d, m).collect()
+    assert np.mean([(x["score"] >= 0.5) == bool(x["doc_id"] % 2) for x in got]) > 0.9
+
+
 def test_classifiers_on_held_out_labels(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     for run, label in ((quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")):
