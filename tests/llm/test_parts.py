@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import sys
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -27,6 +29,37 @@ def test_pieces_give_the_library_ids(name):
     assert enc.encode([None]) == [b""]
 
 
+class _Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.characters = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.characters += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_go_to_the_library_with_one_space_between():
+    enc, r = PieceEncoder(public_tokenizers.path(FILES[1])), random.Random(7)
+    words = list({"".join(r.choice("aeioustrnäüñж") for _ in range(r.randint(2, 9))) for _ in range(6000)})
+    enc.tokenizer = counted = _Counted(enc.tokenizer)
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    got = enc.encode(texts)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in counted.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counted.characters <= sum(map(len, words)) + len(words)
+
+
+def test_letters_of_every_script_give_the_library_ids():
+    """Some are several pre-tokens once they are normalised or lowered, so that whole groups must be told apart otherwise."""
+    enc = PieceEncoder(public_tokenizers.path(FILES[1]))
+    letters = [x for x in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(x)[0] == "L"]
+    texts = [" ".join(f"{x} {x}a b{x}" for x in letters[i : i + 100]) for i in range(0, len(letters), 100)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want
+    assert enc.encode(["क़ a", "İstanbul ½ b", "a</w> b"]) == [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch_fast(["क़ a", "İstanbul ½ b", "a</w> b"], add_special_tokens=False)]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 5000), max_size=1500), st.data())
 @settings(max_examples=30, deadline=None)
 def test_codes_round_trip(tmp_path_factory, ids, data):
