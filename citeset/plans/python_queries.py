@@ -10,6 +10,7 @@ from ..functions.text import parse_hits
 from ..jats.sentences import split
 from ..operators.filters import coreferent_keys
 from ..sources import articles, biblio
+from ..staging import dealt
 from . import views
 from .catalogue import _phrases, query
 from .views import t
@@ -55,7 +56,7 @@ def jats_parse(s, d):
 
 
 def _pubmed(s, d):
-    rows = t(s, d, "part").select(F.concat(
+    rows = dealt(t(s, d, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")).select(F.concat(
         F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), F.col("p_partkey").cast("string"), F.lit("</PMID><Article><Abstract><AbstractText Label=\"NAME\">"), _escaped(F.col("p_name")),
         F.lit("</AbstractText><AbstractText>"), _escaped(F.col("p_type")), F.lit("</AbstractText></Abstract></Article><MeshHeadingList><MeshHeading><DescriptorName UI=\"D"), F.col("p_size").cast("string"),
         F.lit("\" MajorTopicYN=\"Y\">"), _escaped(F.col("p_brand")), F.lit("</DescriptorName><QualifierName UI=\"Q1\" MajorTopicYN=\"N\">use</QualifierName></MeshHeading></MeshHeadingList></MedlineCitation></PubmedArticle></PubmedArticleSet>"),

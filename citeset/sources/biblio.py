@@ -9,8 +9,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import schemas
 
@@ -64,17 +67,34 @@ def descriptor_rows(payload: bytes) -> list[tuple]:
     return [(_text(r.find("DescriptorUI")), _text(r.find("DescriptorName/String")), _text(t)) for r in ET.fromstring(payload).iter("DescriptorRecord") for t in r.iterfind("TreeNumberList/TreeNumber")]
 
 
-def _extract(payloads: DataFrame, column: str, rows: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
-    """Rows of all payloads; those that aren't XML have none here, and a status in ``payload_status``."""
-    names = [x.split()[0] for x in schema.split(", ")]
+#: Rows of payloads that are handed on at once.
+AT_ONCE = 10_000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x in pdf[column]:
+
+def _extracted(rows: Callable[[bytes], list[tuple]], schema: pa.Schema):
+    """Payloads, the first column, to rows of the schema, many payloads at once."""
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for x in batch.column(0):
                 with contextlib.suppress(ET.ParseError):
-                    yield pd.DataFrame(rows(_bytes(x)), columns=names)
+                    out += rows(_bytes(x.as_py()))
+                if len(out) >= AT_ONCE:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
+
+    return run
 
-    return payloads.select(column).where(F.col(column).isNotNull()).mapInPandas(run, schema)
+
+def _extract(payloads: DataFrame, column: str, rows: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    """Rows of all payloads; those that aren't XML have none here, and a status in ``payload_status``."""
+    return payloads.select(column).where(F.col(column).isNotNull()).mapInArrow(_extracted(rows, to_arrow_schema(T.StructType.fromDDL(schema))), schema)
 
 
 def payload_status(payloads: DataFrame, column: str = "content") -> DataFrame:

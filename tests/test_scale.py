@@ -1,15 +1,16 @@
 """Work grows with the rows and is dealt by them."""
 
+import pyarrow as pa
 import pytest
 
 from citeset import staging
-from citeset.plans import article_queries
-from citeset.sources import articles
+from citeset.plans import article_queries, python_queries
+from citeset.sources import articles, biblio
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("rows", [article_queries._forms, article_queries._suppliers])
+@pytest.mark.parametrize("rows", [article_queries._forms, article_queries._suppliers, python_queries._pubmed])
 def test_rows_that_become_documents_are_dealt_by_their_number(spark, rows, monkeypatch):
     monkeypatch.setattr(staging, "ROWS", 3)
     assert rows(spark, SF).rdd.getNumPartitions() >= 3
@@ -22,3 +23,11 @@ def test_parsed_articles_come_in_pieces_by_bytes(spark, monkeypatch):
     files = spark.createDataFrame(docs, "pmcid string, path string, length bigint, modificationTime timestamp, content binary").coalesce(1)
     got = articles.parse(files).select("pmcid", "length", "status", "metadata.pmcid").collect()
     assert [tuple(x) for x in got] == [(f"PMC{i}", i, "complete" if i % 3 else "parse_error", f"PMC{i}" if i % 3 else None) for i in range(20)]
+
+
+def test_payloads_are_handed_on_together():
+    one = "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>{}</PMID></MedlineCitation></PubmedArticle></PubmedArticleSet>"
+    batch = pa.RecordBatch.from_pydict({"content": [one.format(i) if i % 4 else "no XML <" for i in range(40)]})
+    got = list(biblio._extracted(biblio.abstract_rows, pa.schema([("pmid", pa.string()), ("abstract", pa.string())]))([batch]))
+    assert len(got) == 1
+    assert got[0].column("pmid").to_pylist() == [str(i) for i in range(40) if i % 4]
