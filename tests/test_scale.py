@@ -1,10 +1,13 @@
 """Work grows with the rows and is dealt by them."""
 
+import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from citeset import staging
-from citeset.plans import article_queries, python_queries
+from citeset.functions import text
+from citeset.plans import article_queries, catalogue, python_queries
 from citeset.sources import articles, biblio
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +34,22 @@ def test_payloads_are_handed_on_together():
     got = list(biblio._extracted(biblio.abstract_rows, pa.schema([("pmid", pa.string()), ("abstract", pa.string())]))([batch]))
     assert len(got) == 1
     assert got[0].column("pmid").to_pylist() == [str(i) for i in range(40) if i % 4]
+
+
+def test_articles_of_high_numbers_equal_their_sql(spark, tmp_path):
+    """Ids of more digits than a label has."""
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "customer"):
+        con.execute(f"COPY (SELECT * {'REPLACE (l_partkey + 20000 AS l_partkey)' if name == 'lineitem' else ''} FROM '{SF}/{name}.parquet') TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    theirs = con.execute(catalogue.ORACLES["jats_parse"])
+    names = [c[0] for c in theirs.description]
+    ours = catalogue.QUERIES["jats_parse"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, ours), key=repr) == sorted(theirs.fetchall(), key=repr)
+
+
+def test_a_capital_is_one_letter_as_in_sql(spark):
+    letters = ["a", "é", "ǆ", "1", "", *(chr(i) for i in range(0x80, 0x10000) if len(chr(i).upper()) > 1)]
+    ours = spark.createDataFrame([(c, c + "ßx") for c in letters], "c string, x string").select("c", text.raise_first(F.col("x"))).collect()
+    con = duckdb.connect()
+    assert {x[0]: x[1] for x in ours} == {c: con.execute("SELECT upper(left(?, 1)) || substring(?, 2)", [c + "ßx"] * 2).fetchall()[0][0] for c in letters}
