@@ -1,5 +1,6 @@
 """Work grows with the rows and is dealt by them."""
 
+import random
 import time
 
 import duckdb
@@ -9,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeset import staging
-from citeset.functions import text
-from citeset.operators import decoys
+from citeset.functions import fixed, text
+from citeset.operators import decoys, spoilers
 from citeset.plans import article_queries, catalogue, python_queries
 from citeset.sources import articles, biblio
 
@@ -70,3 +71,35 @@ def test_cover_looks_at_all_queries_only_once():
 
     seconds(100)
     assert seconds(40_000) < 40 * seconds(2_000)
+
+
+def test_texts_come_to_rows_that_have_their_names(spark):
+    """With texts added by a function, they aren't moved by the key, and the result is the same."""
+    rows = [(1, "A", ["1", "2"], "As Roe-Ek and ROE, 2001"), (2, "A", ["2"], "roed et al."), (3, "A", ["3"], "Straße [3]"), (4, "A", [], None), (5, "A", ["4"], "x.y (2001)"), (6, "A", ["5"], "strasse")]
+    contexts = spark.createDataFrame(rows, "query_id int, source_pmcid string, hits array<string>, query string")
+    sources = spark.createDataFrame([("A", "1", ["Roe J"]), ("A", "2", ["Ek", "Roe\\E| K"]), ("A", "3", ["straße X"]), ("A", "4", ["x.y A", "xzy B"]), ("A", "5", [])], "source_pmcid string, pmid string, authors array<string>")
+    seen = []
+
+    def texts(df):
+        seen.append(df.columns)
+        return df.join(contexts.select("query_id", "query"), "query_id")
+
+    names = ("query_id", "author_spoiling", "citation_spoiler_reasons", "positive_author_metadata_complete")
+    whole = spoilers.annotate_spoilers(contexts, sources, ("query_id",)).select(*names).orderBy("query_id").collect()
+    apart = spoilers.annotate_spoilers(contexts.drop("query"), sources, ("query_id",), texts=texts).select(*names).orderBy("query_id").collect()
+    assert apart == whole
+    assert [x[1] for x in whole] == [True, False, True, False, True, False]
+    for both in zip(spoilers.split_spoilers(contexts, sources, ("query_id",)), spoilers.split_spoilers(contexts.drop("query"), sources, ("query_id",), texts=texts), strict=True):
+        one, other = (sorted(map(str, df.select("query_id", "query", "citation_spoiler_reasons").collect())) for df in both)
+        assert one == other
+    assert "query" not in seen[0]
+    assert {"_names", "_known"} <= set(seen[0])
+
+
+def test_what_is_looked_for_first_loses_no_match(spark):
+    rng = random.Random(5)
+    parts = ["(", ")", "[", "]", "Ek", " and ", "2001", "1899a", ", ", " et al.", " ET AL. ", "3", "–", "doi: 10.1/x", "PMID:7", "unpublished data", "in  PRESS", "(e.g., )", "▸", "[xref:R1]", "[XREF:r 2", "é", " ", "٣", "．"]
+    rows = [("".join(rng.choices(parts, k=rng.randint(0, 7))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "q string")
+    wrong = [name for name, p in fixed.RESIDUAL_PATTERNS.items() if df.where(spoilers._has(F.col("q"), name) != F.col("q").rlike(p)).count()]
+    assert wrong == []
