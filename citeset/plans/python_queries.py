@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -19,12 +20,28 @@ from .views import t
 @query()
 def sentence_positions(s, d):
     """Sentences of documents with their places."""
-
-    @F.pandas_udf("array<string>")
-    def cut(x: pd.Series) -> pd.Series:
-        return x.fillna("").map(split)
-
-    return t(s, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("sentence_index", "text"))
+    docs = t(s, d, "documents").select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(_sentences, f"doc_id {kind}, sentence_index int, text string")
+
+
+#: Characters of documents that a task cuts into sentences at once; a single document is cut whole.
+AT_ONCE = 2 << 20
+
+
+def _sentences(batches):
+    """``doc_id, sentence_index, text`` of documents, handed on by pieces, so that a batch isn't held with all its sentences."""
+    for batch in batches:
+        ids, places, texts, size = [], [], [], 0
+        for i, text in enumerate(batch.column("text")):
+            got = split(text.as_py() or "")
+            ids += [i] * len(got)
+            places += range(len(got))
+            texts += got
+            size += sum(map(len, got))
+            if size >= AT_ONCE or i + 1 == len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "sentence_index", "text"])
+                ids, places, texts, size = [], [], [], 0
 
 
 @query("SELECT query_id, array_to_string(hits, ',') AS hits FROM (" + views.SQL["v_ctx"] + ")")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeset import staging
 from citeset.functions import fixed, text
+from citeset.jats.sentences import split
 from citeset.operators import decoys, spoilers
 from citeset.plans import article_queries, catalogue, python_queries
 from citeset.sources import articles, biblio
@@ -103,3 +104,12 @@ def test_what_is_looked_for_first_loses_no_match(spark):
     df = spark.createDataFrame(rows, "q string")
     wrong = [name for name, p in fixed.RESIDUAL_PATTERNS.items() if df.where(spoilers._has(F.col("q"), name) != F.col("q").rlike(p)).count()]
     assert wrong == []
+
+
+def test_sentences_are_handed_on_by_pieces(monkeypatch):
+    monkeypatch.setattr(python_queries, "AT_ONCE", 30)
+    texts = ["One is here. Two is there.", None, "", "Alone", "A long one stands here. And more. And more."] * 3
+    got = list(python_queries._sentences([pa.RecordBatch.from_pydict({"doc_id": list(range(15)), "text": texts})]))
+    assert len(got) > 3
+    rows = [(i, n, x) for i, text in enumerate(texts) for n, x in enumerate(split(text or ""))]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
