@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import ClassVar
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..staging import bounded, discard, new_path, shared_dir, stage
+from ..staging import _local, _remote, bounded, discard, new_path, shared_dir, stage, write_file
 
 __all__ = ["Memory", "RangeReader", "bounded", "discard", "lean", "new_path", "partitions", "shared_dir", "slices", "stage", "table", "trim", "trimmed", "write_file"]
 
@@ -94,36 +91,6 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def _local(uri: str) -> str | None:
-    parsed = urlparse(uri)
-    return parsed.path if parsed.scheme in ("", "file") else None
-
-
-def _remote(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def write_file(uri: str, parts: list[bytes]) -> None:
-    """Write a file under a name that appears only when it is whole. A repeated attempt replaces it."""
-    draft = f"{uri}.{uuid.uuid4().hex}.tmp"
-    path = _local(uri)
-    if path is not None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(_local(draft), "wb") as f:
-            f.writelines(parts)
-        os.replace(_local(draft), path)
-        return
-    system, name = _remote(uri)
-    _, other = _remote(draft)
-    system.create_dir(os.path.dirname(name), recursive=True)
-    with system.open_output_stream(other) as f:
-        for part in parts:
-            f.write(part)
-    system.move(other, name)
-
-
 class RangeReader:
     """Reads byte ranges of a file."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import people, text
 from ..operators.contexts import sentence_lines
+from ..staging import dealt, discard, stage
 
 # Fixed values. File names of a legacy data set.
 LEGACY = {"contexts": "extracted_contexts.csv", "sources": "extracted_sources.csv", "metadata": "extracted_metadata.csv"}
@@ -37,7 +38,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_sentences(sentences: DataFrame, path: str) -> None:
     """Text lines in a folder per article."""
     place = ("pmcid", "section_index", "paragraph_index", "sentence_index")
-    sentence_lines(sentences.repartition("pmcid").sortWithinPartitions(*place)).write.mode("overwrite").partitionBy("pmcid").text(path)
+    rows = stage(sentences, "sentences")
+    sentence_lines(dealt(rows, by="pmcid").sortWithinPartitions(*place)).write.mode("overwrite").partitionBy("pmcid").text(path)
+    discard(rows)
 
 
 def write_authors(payload: DataFrame, path: str, kind: str = "json") -> None:

@@ -14,7 +14,8 @@ from citeset.functions import fixed, text
 from citeset.jats.sentences import split
 from citeset.operators import decoys, spoilers
 from citeset.plans import article_queries, catalogue, python_queries
-from citeset.sources import articles, biblio
+from citeset.sources import articles, biblio, export
+from citeset.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +114,26 @@ def test_sentences_are_handed_on_by_pieces(monkeypatch):
     assert len(got) > 3
     rows = [(i, n, x) for i, text in enumerate(texts) for n, x in enumerate(split(text or ""))]
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
+
+
+def test_articles_are_written_by_their_tasks(spark, tmp_path):
+    """And only a batch's own files are looked up when ids are ingested."""
+    files = spark.createDataFrame([(f"PMC{i}", bytearray(b"x%d" % i)) for i in range(10)], "pmcid string, content binary").repartition(4)
+    assert ingest.write_articles(files, f"file://{tmp_path}") == 10
+    assert {p.name: p.read_bytes() for p in (tmp_path / "xml_jats").iterdir()} == {f"PMC{i}.nxml": b"x%d" % i for i in range(10)}
+
+
+def test_sentence_folders_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Adaptive execution would make one task of so few bytes."""
+    tasks = []
+
+    def dealt(df, **given):
+        out = staging.dealt(df, 10, **given)
+        tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(export, "dealt", dealt)
+    rows = spark.range(60).selectExpr("concat('PMC', id) AS pmcid", "0 AS section_index", "0 AS paragraph_index", "0 AS sentence_index", "'x' AS text")
+    export.write_sentences(rows, f"file://{tmp_path}/out")
+    assert tasks[0] >= 6
+    assert spark.read.text(f"file://{tmp_path}/out").select("pmcid", "value").distinct().count() == 60
