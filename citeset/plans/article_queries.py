@@ -196,7 +196,7 @@ def descriptor_file(s, d):
     """Descriptor records written as one kind of XML and scanned by row tag."""
     path, k = new_path(s, "descriptors"), F.col("p_partkey")
     places = F.array(F.concat(F.lit("A"), F.lpad((k % 100).cast("string"), 2, "0")), F.concat(F.lit("B01."), F.lpad((k % 1000).cast("string"), 3, "0")))
-    rows = t(s, d, "part").select(F.concat(F.lit("D"), k.cast("string")).alias("DescriptorUI"), F.struct(F.col("p_name").alias("String")).alias("DescriptorName"), F.struct(places.alias("TreeNumber")).alias("TreeNumberList"))
+    rows = dealt(t(s, d, "part").select("p_partkey", "p_name")).select(F.concat(F.lit("D"), k.cast("string")).alias("DescriptorUI"), F.struct(F.col("p_name").alias("String")).alias("DescriptorName"), F.struct(places.alias("TreeNumber")).alias("TreeNumberList"))
     rows.write.format("xml").option("rootTag", "DescriptorRecordSet").option("rowTag", "DescriptorRecord").save(path)
     return biblio.descriptors(s, path)
 

@@ -137,3 +137,9 @@ def test_sentence_folders_are_written_by_several_tasks(spark, tmp_path, monkeypa
     export.write_sentences(rows, f"file://{tmp_path}/out")
     assert tasks[0] >= 6
     assert spark.read.text(f"file://{tmp_path}/out").select("pmcid", "value").distinct().count() == 60
+
+
+def test_descriptors_are_several_files(spark, monkeypatch):
+    """A file without end is read by few tasks."""
+    monkeypatch.setattr(staging, "ROWS", 50)
+    assert len(catalogue.QUERIES["descriptor_file"](spark, SF).inputFiles()) >= 4
